@@ -18,11 +18,13 @@ empty table. A task holds one shard's lengths, never texts.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,53 +39,142 @@ GENERATIONS = 12
 KEEP = 0.985
 ROUNDS = 4
 #: Words whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 700_000
+#: A worker's tokenizers, kept from task to task.
+_words: dict = {}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_bytes(texts: list[bytes | None], tokenizer, cache: dict[bytes, bytes]) -> list[bytes]:
-    """Each text's ids, 32 bits little-endian. The tokenizer drops white space, so words are encoded once each."""
-    words = [(t or b"").split() for t in texts]
-    out = []
-    for at in range(0, len(words), 256):
-        group = words[at : at + 256]
-        new = list({w for ws in group for w in ws if w not in cache})
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list({w for ws in group for w in ws})
-        for a in range(0, len(new), 4096):
-            for w, e in zip(new[a : a + 4096], tokenizer.encode_batch_fast([w.decode() for w in new[a : a + 4096]], add_special_tokens=False)):
-                cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        out += [b"".join([cache[w] for w in ws]) for ws in group]
-    return out
+class Words:
+    """A tokenizer that remembers words. It drops white space, so that a text's ids are those of its words.
+
+    It also parts letters from marks, so a mark that ends a word is encoded by itself. A word of letters alone is one
+    pre-token; many of those are encoded at once by the same model behind a plainer splitter at white space.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.whole.model)
+        self.plain.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.cache: dict[bytes, bytes] = {}
+        # tokens that end a word
+        self.last = np.zeros(self.whole.get_vocab_size(), dtype=bool)
+        suffix = self.whole.model.end_of_word_suffix
+        for token, i in self.whole.get_vocab().items():
+            self.last[i] = bool(suffix) and token.endswith(suffix)
+
+    def _each(self, words: list[bytes]) -> None:
+        for a in range(0, len(words), 4096):
+            for w, e in zip(words[a : a + 4096], self.whole.encode_batch_fast([w.decode() for w in words[a : a + 4096]], add_special_tokens=False)):
+                self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _letters(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 64 * 256):
+            group = [words[a : a + 64] for a in range(at, min(at + 64 * 256, len(words)), 64)]
+            for ws, e in zip(group, self.plain.encode_batch_fast([b" ".join(ws).decode() for ws in group], add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                edges = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
+                if len(edges) != len(ws) + 1 or edges[-1] != len(ids):
+                    self._each(ws)
+                    continue
+                data = ids.tobytes()
+                for w, a, b in zip(ws, edges, edges[1:]):
+                    self.cache[w] = data[4 * a : 4 * b]
+
+    def _learn(self, new: list[bytes]) -> None:
+        cores: list[tuple[bytes, bytes, bytes]] = []
+        rest, letters = [], set()
+        for w in new:
+            m = _core.fullmatch(w)
+            if m:
+                core, mark = m.groups()
+                if core.isalpha() or ((t := core.decode()).isalpha() and t.lower().isalpha()):
+                    letters.add(core)
+                    if mark:
+                        cores.append((w, core, mark))
+                    continue
+            rest.append(w)
+        rest += {mark for _, _, mark in cores if mark not in self.cache}
+        self._each(rest)
+        self._letters([w for w in letters if w not in self.cache])
+        for w, core, mark in cores:
+            self.cache[w] = self.cache[core] + self.cache[mark]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and the places where each text's begin and the last one's end."""
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        # letters' case makes no difference but in special tokens
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(lower)
+        words = split.flatten().dictionary_encode()
+        known = words.dictionary.cast(pa.binary()).to_pylist()
+        new = [w for w in known if w not in self.cache]
+        if new:
+            self._learn(new)
+        found = [*map(self.cache.__getitem__, known)]
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        flat = b"".join(found)
+        at = words.indices
+        lists = pa.BinaryArray.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size * 4)]).astype(np.int32)), pa.py_buffer(flat)])
+        ids = np.frombuffer(_values(lists.take(at)), dtype="<u4")
+        ends = np.concatenate([[0], np.cumsum(size[at.to_numpy()])])
+        return ids, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
+
+def _values(array: pa.BinaryArray) -> memoryview:
+    """All bytes of an array without nulls."""
+    edges = np.frombuffer(array.buffers()[1], dtype=np.int32)[array.offset : array.offset + len(array) + 1]
+    return memoryview(array.buffers()[2])[edges[0] : edges[-1]] if len(array) and array.buffers()[2] else memoryview(b"")
+
+
+#: A word of letters and the marks at its end, which the tokenizer parts.
+_core = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]*)")
+#: Bytes of texts that are encoded at once.
+SLICE = 16 << 20
+
+
+def _slices(texts: pa.Array):
+    """Ranges of texts of about SLICE bytes."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + SLICE, side="right")))
+        yield start, end
+        start = end
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids: each document's ids and `end`, cut at capacity."""
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer, cache = Tokenizer.from_file(tokenizer_path), {}
+        words = _words.get(tokenizer_path) or _words.setdefault(tokenizer_path, Words(tokenizer_path))
+        last = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), tokenizer, cache)):
-                ids += np.array([end], dtype="<u4").tobytes()
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for c, x in zip(cols, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None)):
-                        c.append(x)
-            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if keep_ids:
-                flat = np.frombuffer(b"".join(cols[5]), dtype="<u4").astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(cols[3])]).astype(np.int32), pa.array(flat)))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            texts, docs = pc.fill_null(batch.column(1), ""), batch.column(0).to_pylist()
+            for a, b in _slices(texts):
+                cols: list[list] = [[], [], [], [], [], []]
+                ids, places = words.encode(texts.slice(a, b - a))
+                for doc_id, lo, hi in zip(docs[a:b], places.tolist(), places[1:].tolist()):
+                    data = ids[lo:hi].tobytes() + last
+                    for piece, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at : at + 4 * capacity]
+                        for c, x in zip(cols, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None)):
+                            c.append(x)
+                arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if keep_ids:
+                    flat = np.frombuffer(b"".join(cols[5]), dtype="<u4").astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(cols[3])]).astype(np.int32), pa.array(flat)))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = PIECES + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 class Genome:
