@@ -25,6 +25,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +39,12 @@ PLACE = np.uint64((1 << 20) - 1)
 HOT = 2000
 #: Contexts of a batch.
 BATCH = 64
+#: Contexts that a task remembers to have dealt.
+SEEN = 400_000
 SEED = 3
 #: Stands for a null id while rows are matched.
 NO_ID = -(1 << 63) + 1
-RUNS = "doc_id long, row_key long, anchor long, context long, lo int, n int"
+RUNS = "doc_id long, row_key long, anchor long, context long, lo int, n int, known boolean"
 _rng = np.random.default_rng(SEED)
 _SYMBOLS = _rng.integers(1 << 63, size=256, dtype=np.uint64)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -102,14 +105,29 @@ def runs(text: bytes, length: int = LENGTH, gram: int = GRAM):
 
 def _find_runs(length: int, gram: int):
     def find(batches):
+        # a task deals each context of an anchor twice at most: more only tell that they repeat, and go anywhere
+        once: set[int] = set()
+        twice: set[int] = set()
+        part, told = TaskContext.get().partitionId(), 0
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 for lo, n, anchor, context in runs(text or b"", length, gram):
-                    for c, x in zip(cols, (doc_id, key, anchor, context, lo, n)):
+                    both, known = hash((anchor, context)), False
+                    if both in twice:
+                        told, known = told + 1, True
+                        anchor = xxhash.xxh64_intdigest(b"%d %d" % (part, told)) - (1 << 63)
+                    elif both in once:
+                        twice.add(both)
+                    else:
+                        once.add(both)
+                    for c, x in zip(cols, (doc_id, key, anchor, context, lo, n, known)):
                         c.append(x)
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "row_key", "anchor", "context", "lo", "n"])
+                if len(once) > SEEN:
+                    once.clear()
+                    twice.clear()
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "row_key", "anchor", "context", "lo", "n", "known"])
 
     return find
 
@@ -120,7 +138,7 @@ SETTLED = RUNS + ", repeated boolean, differs boolean"
 def _settle(batches):
     """Of rows sorted by anchor and context: those whose context is repeated, and the first of each context of an
     anchor that has several. One row and its state are carried from batch to batch."""
-    names = ["doc_id", "row_key", "anchor", "context", "lo", "n"]
+    names = ["doc_id", "row_key", "anchor", "context", "lo", "n", "known"]
     carried, told_repeat, told_differs, several = None, False, False, False
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -137,7 +155,7 @@ def _settle(batches):
         contexts = np.bincount(owner, weights=new_context).astype(np.int64)
         if carried is not None and several:
             contexts[0] += 1
-        repeated = size[group] > 1
+        repeated = (size[group] > 1) | table["known"].to_numpy()
         if carried is not None and told_repeat:
             repeated[group == 0] = True
         differs = new_context & (contexts[owner] > 1)
