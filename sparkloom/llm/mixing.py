@@ -18,15 +18,18 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, row_key
 
-#: Slices of the seeded order (four hexadecimal digits).
-BUCKETS = 16**4
+#: Hexadecimal digits that name a slice of the seeded order; BUCKETS slices.
+DIGITS = 4
+BUCKETS = 16**DIGITS
+#: Parts of a source that are joined apart.
+SALTS = 64
 
 
 def sized(docs: DataFrame, seed: str) -> DataFrame:
     order = F.substring(F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 16)
     return docs.select(
         "doc_id", "source", row_key().alias("row_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("turn")
-    ).withColumn("slice", F.substring("turn", 1, 4))
+    ).withColumn("slice", F.substring("turn", 1, DIGITS))
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -69,7 +72,10 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), max_epochs: int = 3, seed: str
     edge = g.join(s, F.col("g.source").eqNullSafe(F.col("s.source")) & (F.col("s.below") <= F.col("g.rest")) & (F.col("g.rest") < F.col("s.below") + F.col("s.words")))
     edge = edge.select(F.col("g.source").alias("edge_source"), F.col("s.slice").alias("edge_slice"), "below")
     goal = cut(g.join(edge, F.col("g.source").eqNullSafe(F.col("edge_source")), "left").select("g.*", "edge_slice", "below").withColumnRenamed("source", "goal_source"))
-    rows = sizes.join(goal, sizes["source"].eqNullSafe(goal["goal_source"])).drop("goal_source")
+    # a source's rows meet its goal in SALTS places
+    goal = goal.withColumn("goal_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sizes = sizes.withColumn("salt", F.pmod(F.xxhash64("turn"), F.lit(SALTS)).cast("int"))
+    rows = sizes.join(goal, sizes["source"].eqNullSafe(goal["goal_source"]) & (F.col("salt") == F.col("goal_salt"))).drop("goal_source", "goal_salt", "salt")
     inside = F.col("slice") == F.col("edge_slice")
     order = Window.partitionBy("source", "slice").orderBy("turn", "doc_id", "row_key").rowsBetween(Window.unboundedPreceding, 0)
     at = rows.filter(inside).withColumn("middle", F.col("below") + F.sum("size").over(order) - F.col("size") / 2).withColumn("more", (F.col("middle") <= F.col("rest")).cast("int"))
