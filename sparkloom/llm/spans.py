@@ -19,10 +19,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_partitions
+from .common import tidied, with_partitions
 
 SPAN = 3
 WORDS = 20
@@ -30,8 +31,10 @@ CUT = 12
 #: Words whose hash a worker remembers.
 CACHE = 300_000
 NO_ID = -(1 << 63) + 1
-PLACED = "doc_id long, row_key long, at int, n int, h long, g int"
-RESULT = "doc_id long, n_sentences int, n_removed int, removed_bytes long, text string"
+PLACED = "doc_id long, row_key long, at int, n int, h long, g int, known boolean"
+#: Spans whose least place a task remembers.
+SEEN = 100_000
+RESULT = "doc_id long, n_removed int, removed_bytes long, text string"
 _word = re.compile(rb"[^\x20\x09-\x0D]+")
 _line = re.compile(rb"[\n\r]")
 
@@ -63,8 +66,11 @@ def sentences(text: bytes, cache: dict[bytes, bool]) -> list[tuple[int, int, lis
 def _hashed(span: int, least: int):
     def run(batches):
         cache: dict[bytes, bool] = {}
+        # a span that comes after another of its hash in the task is not the first, and goes anywhere
+        least_place: dict[int, tuple[int, int, int]] = {}
+        part, told = TaskContext.get().partitionId(), 0
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 parts = sentences(text, cache)
                 joined = [b" ".join(p[2]) for p in parts]
@@ -77,11 +83,20 @@ def _hashed(span: int, least: int):
                     if held < least or last - i < span:
                         break
                     digest = xxhash.xxh3_128_intdigest(b" ".join(joined[i:last]))
-                    for c, x in zip(cols, (doc_id, key, i, last - i, (digest & (1 << 64) - 1) - (1 << 63), (digest >> 96) - (1 << 31))):
+                    place = doc_id, key, i
+                    known = (before := least_place.get(digest)) is not None and before < place
+                    if known:
+                        told += 1
+                        digest = xxhash.xxh3_128_intdigest(b"%d %d" % (part, told))
+                    else:
+                        least_place[digest] = place
+                    for c, x in zip(cols, (doc_id, key, i, last - i, (digest & (1 << 64) - 1) - (1 << 63), (digest >> 96) - (1 << 31), known)):
                         c.append(x)
                     held -= counts[i]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "row_key", "at", "n", "h", "g"])
+                if len(least_place) > SEEN:
+                    least_place.clear()
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "row_key", "at", "n", "h", "g", "known"])
 
     return run
 
@@ -95,7 +110,8 @@ def _repeated(batches):
         h, g = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("h", "g"))
         same = np.concatenate([[last == (h[0], g[0])], (h[1:] == h[:-1]) & (g[1:] == g[:-1])])
         last = h[-1], g[-1]
-        yield batch.filter(pa.array(same))
+        known = batch.column(batch.schema.get_field_index("known")).to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array(same | known))
 
 
 def _rest(batches):
@@ -103,7 +119,7 @@ def _rest(batches):
     for batch in batches:
         rows, held = [], 0
         for doc_id, key, text, found in zip(*(c.to_pylist() for c in batch.columns)):
-            parts = sentences(text, cache)
+            parts = sentences(text, cache) if found else []
             gone = np.zeros(len(parts), dtype=bool)
             for f in found or []:
                 gone[f["at"] : f["at"] + f["n"]] = True
@@ -112,7 +128,7 @@ def _rest(batches):
                 kept.append(text[at : parts[i][0]])
                 at = parts[i][1]
             rest = b"".join([*kept, text[at:]])
-            rows.append((doc_id, len(parts), int(gone.sum()), len(text) - len(rest), rest.decode("utf-8", "replace")))
+            rows.append((doc_id, int(gone.sum()), len(text) - len(rest), rest.decode("utf-8", "replace")))
             held += len(rest)
             if held > 8 << 20:
                 yield _results(rows)
@@ -122,18 +138,18 @@ def _rest(batches):
 
 
 def _results(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "n_sentences", "n_removed", "removed_bytes", "text"])
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "n_removed", "removed_bytes", "text"])
 
 
 def remove_repeated_spans(docs: DataFrame, span: int = SPAN, words: int = WORDS) -> DataFrame:
-    """doc_id, n_sentences, n_removed, removed_bytes, text (what is left): one row for each row of docs (doc_id, text)."""
+    """doc_id, n_removed (sentences), removed_bytes, text (what is left): one row for each row of docs (doc_id, text)."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    spans = base.mapInArrow(_hashed(span, words), PLACED)
+    spans = base.mapInArrow(tidied(_hashed(span, words)), PLACED)
     spans = with_partitions(spans, "h").sortWithinPartitions("h", "g", "doc_id", "row_key", "at")
-    again = spans.mapInArrow(_repeated, PLACED).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("at", "n")).alias("found")).alias("r")
+    again = spans.mapInArrow(tidied(_repeated), PLACED).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("at", "n")).alias("found")).alias("r")
     l = with_partitions(base, "doc_id", "row_key").alias("l")
     on = (F.col("l.doc_id") == F.col("r.doc_id")) & (F.col("l.row_key") == F.col("r.row_key"))
-    rest = l.join(again, on, "left").select("l.doc_id", "l.row_key", "l.text", "r.found").mapInArrow(_rest, RESULT)
+    rest = l.join(again, on, "left").select("l.doc_id", "l.row_key", "l.text", "r.found").mapInArrow(tidied(_rest), RESULT)
     return rest.withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID})"))
