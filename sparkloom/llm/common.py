@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +42,18 @@ def row_key(doc_id="doc_id", text="text"):
 def with_partitions(df: DataFrame, *cols) -> DataFrame:
     """Deal rows by key into the session's number of shuffle partitions, which AQE may not merge."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
+def tidied(run):
+    """A function over batches that, when a task ends, gives the memory it freed back to the system.
+
+    Workers serve many tasks, and executors count what their allocators keep.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped

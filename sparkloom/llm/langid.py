@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 DIMENSIONS = 1024
 LETTERS = 191
 SEED = 5
@@ -114,7 +116,7 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS), pa.int32()), pa.array(total, pa.float64())], ["lang", "at", "x"])
 
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    rows = known.mapInArrow(learn, "lang string, at int, x double").groupBy("lang", "at").agg(F.sum("x").alias("x"))
+    rows = known.mapInArrow(tidied(learn), "lang string, at int, x double").groupBy("lang", "at").agg(F.sum("x").alias("x"))
     rows = rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")).select("lang", F.col("v.x").alias("x")).collect()
     return {r["lang"]: np.array(r["x"]) for r in sorted(rows, key=lambda r: r["lang"]) if any(r["x"])}
 
@@ -160,7 +162,7 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
             langs, scores = judge(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, lang_pred string, score double")
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -174,7 +176,7 @@ def identified(docs: DataFrame) -> DataFrame:
             langs, _ = judge(batch.column(at).to_pylist())
             yield batch.filter(pa.array([x != UNDETERMINED for x in langs], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def held_out(doc_id="doc_id", folds: int = 5):

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidied
 
 CAPACITY = 4096
 END = 1
@@ -38,10 +38,8 @@ POPULATION = 4
 GENERATIONS = 12
 KEEP = 0.985
 ROUNDS = 4
-#: Words whose ids a worker remembers.
-CACHE = 700_000
-#: A worker's tokenizers, kept from task to task.
-_words: dict = {}
+#: Words whose ids a task remembers.
+CACHE = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -89,6 +87,9 @@ class Words:
         cores: list[tuple[bytes, bytes, bytes]] = []
         rest, letters = [], set()
         for w in new:
+            if w.isalpha():  # ASCII letters
+                letters.add(w)
+                continue
             m = _core.fullmatch(w)
             if m:
                 core, mark = m.groups()
@@ -135,7 +136,7 @@ def _values(array: pa.BinaryArray) -> memoryview:
 #: A word of letters and the marks at its end, which the tokenizer parts.
 _core = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]*)")
 #: Bytes of texts that are encoded at once.
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 
 def _slices(texts: pa.Array):
@@ -152,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids: each document's ids and `end`, cut at capacity."""
 
     def run(batches):
-        words = _words.get(tokenizer_path) or _words.setdefault(tokenizer_path, Words(tokenizer_path))
+        words = Words(tokenizer_path)
         last = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             texts, docs = pc.fill_null(batch.column(1), ""), batch.column(0).to_pylist()
@@ -174,7 +175,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = PIECES + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), schema)
 
 
 class Genome:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, with_partitions
+from .common import cut, row_key, tidied, with_partitions
 from .components import components
 
 SEED = 42
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, words: int = 3, width: int = 1) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, width, dtype=np.int32), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "row_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, row_key long, fp array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("binary").alias("text")).mapInArrow(tidied(run), "doc_id long, row_key long, fp array<long>")
 
 
 class BKTree:
@@ -232,7 +232,7 @@ def linked(entries: DataFrame, n: int, radius: int, width: int, exact: bool, sha
         )
         dealt = dealt.select("kind", "key", "entry", "fp", where.alias("w")).select("kind", "key", "w.*", "entry", "fp")
     placed = with_partitions(dealt, "kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j")
-    return placed.mapInArrow(_scan(radius, width), "u long, v long")
+    return placed.mapInArrow(tidied(_scan(radius, width)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, width: int = 1) -> DataFrame:

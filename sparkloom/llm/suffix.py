@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_partitions
+from .common import tidied, with_partitions
 
 LENGTH = 400
 GRAM = 128
@@ -40,7 +40,7 @@ HOT = 2000
 #: Contexts of a batch.
 BATCH = 64
 #: Contexts that a task remembers to have dealt.
-SEEN = 400_000
+SEEN = 150_000
 SEED = 3
 #: Stands for a null id while rows are matched.
 NO_ID = -(1 << 63) + 1
@@ -329,8 +329,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     rest = F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]) if carry else F.lit(0)
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), key.alias("row_key"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), rest.alias("rest"))
-    found = base.select("doc_id", "row_key", "text").filter(F.octet_length("text") >= length).mapInArrow(_find_runs(length, gram), RUNS)
-    settled = with_partitions(found, "anchor").sortWithinPartitions("anchor", "context", "doc_id", "row_key", "lo").mapInArrow(_settle, SETTLED)
+    found = base.select("doc_id", "row_key", "text").filter(F.octet_length("text") >= length).mapInArrow(tidied(_find_runs(length, gram)), RUNS)
+    settled = with_partitions(found, "anchor").sortWithinPartitions("anchor", "context", "doc_id", "row_key", "lo").mapInArrow(tidied(_settle), SETTLED)
     wanted = settled.filter("differs")
     full = wanted.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor", F.lit(True).alias("hot"))
     wanted = wanted.join(full, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
@@ -338,16 +338,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     # the one exchange of texts, used twice
     dealt = with_partitions(base, "doc_id", "row_key").alias("l")
     on = (F.col("l.doc_id") == F.col("r.doc_id")) & (F.col("l.row_key") == F.col("r.row_key"))
-    contexts = dealt.join(lists, on).select("l.doc_id", "l.row_key", "l.text", "r.wanted").mapInArrow(_contexts(length), "doc_id long, row_key long, anchor long, lo int, n int, data binary, repeated boolean, hot boolean")
-    cool = with_partitions(contexts.filter("not hot").drop("hot"), "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(length), SPAN)
-    windows = contexts.filter("hot").drop("hot").mapInArrow(_window_hashes(length), "doc_id long, row_key long, lo int, h binary, repeated boolean")
+    contexts = dealt.join(lists, on).select("l.doc_id", "l.row_key", "l.text", "r.wanted").mapInArrow(tidied(_contexts(length)), "doc_id long, row_key long, anchor long, lo int, n int, data binary, repeated boolean, hot boolean")
+    cool = with_partitions(contexts.filter("not hot").drop("hot"), "anchor").sortWithinPartitions("anchor").mapInArrow(tidied(_compare(length)), SPAN)
+    windows = contexts.filter("hot").drop("hot").mapInArrow(tidied(_window_hashes(length)), "doc_id long, row_key long, lo int, h binary, repeated boolean")
     many = windows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
     warm = windows.filter("not repeated").join(many, "h", "left_semi").select("doc_id", "row_key", "lo", F.lit(1).alias("n"))
     equal = settled.filter("repeated").select("doc_id", "row_key", "lo", "n")
     of_row = equal.unionByName(cool).unionByName(warm).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("lo", "n")).alias("windows")).alias("w")
     on = (F.col("l.doc_id") == F.col("w.doc_id")) & (F.col("l.row_key") == F.col("w.row_key"))
     schema = f"doc_id long, rest {base.schema['rest'].dataType.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string"
-    done = dealt.join(of_row, on, "left").select("l.doc_id", "l.rest", "l.text", "w.windows").mapInArrow(_cut(length, characters), schema)
+    done = dealt.join(of_row, on, "left").select("l.doc_id", "l.rest", "l.text", "w.windows").mapInArrow(tidied(_cut(length, characters)), schema)
     return done.withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID})"))
 
 

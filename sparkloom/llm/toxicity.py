@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 FEATURES = 1 << 18
 SAMPLE = 8000
 FOLDS = 4
@@ -132,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.int32()))], [*batch.schema.names[1:], "features"])
 
     n = len(categories)
-    got = rows.mapInArrow(read, "id long, " + ", ".join(f"c{i} double" for i in range(n)) + ", features array<int>").toPandas().sort_values("id", kind="stable")
+    got = rows.mapInArrow(tidied(read), "id long, " + ", ".join(f"c{i} double" for i in range(n)) + ", features array<int>").toPandas().sort_values("id", kind="stable")
     features = [np.asarray(f, dtype=np.int64) for f in got["features"]]
     return fit_chain(features, got[[f"c{i}" for i in range(n)]].to_numpy(dtype=np.float64).reshape(-1, n)) if len(got) else []
 
@@ -152,4 +154,4 @@ def predict(docs: DataFrame, models: list[tuple], names: list[str]) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(dense[:, c]) for c in range(len(names)))], ["doc_id", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"`{n}` double" for n in names))
+    return rows.mapInArrow(tidied(run), "doc_id long, " + ", ".join(f"`{n}` double" for n in names))
