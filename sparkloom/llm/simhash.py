@@ -36,6 +36,8 @@ from .components import components
 SEED = 42
 RUN = 1 << 15
 SHARD = 4096
+#: Links that are held before all but a spanning forest of them go.
+LINKS = 200_000
 RECALL = 0.95
 #: Mean entries of a shard.
 FILL = 32
@@ -125,16 +127,9 @@ class BKTree:
         return found
 
 
-def _links(values: list[int], build: list[bool], probe: list[bool], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between entries to build and to probe, as positions."""
-    up = list(range(len(values)))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return i
-
-    tree, edges = BKTree(), []
+def _links(values: list[int], build: list[bool], probe: list[bool], radius: int) -> list[tuple[int, int, int]]:
+    """A spanning forest of the links between entries to build and to probe, least distances first: (place, place, distance)."""
+    tree, found = BKTree(), []
     both = all(b and p for b, p in zip(build, probe))
     if not both:
         for i, v in enumerate(values):
@@ -142,14 +137,29 @@ def _links(values: list[int], build: list[bool], probe: list[bool], radius: int)
                 tree.add(v, i)
     for i, v in enumerate(values):
         if probe[i]:
-            for j in tree.within(v, radius):
-                a, b = root(i), root(j)
-                if a != b:
-                    up[a] = b
-                    edges.append((i, j))
+            found += [((values[j] ^ v).bit_count(), i, j) for j in tree.within(v, radius) if j != i]
+            if len(found) > LINKS:
+                found = _forest(found, len(values))
         if both:
             tree.add(v, i)
-    return edges
+    return [(i, j, d) for d, i, j in _forest(found, len(values))]
+
+
+def _forest(links: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int]]:
+    """A minimum spanning forest of (distance, place, place)."""
+    up, kept = list(range(n)), []
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for d, i, j in sorted(links):
+        a, b = root(i), root(j)
+        if a != b:
+            up[a] = b
+            kept.append((d, i, j))
+    return kept
 
 
 def _scan(radius: int, width: int):
@@ -158,7 +168,7 @@ def _scan(radius: int, width: int):
     def shard(part: np.ndarray, keys: list[np.ndarray]):
         entry = part["entry"].tolist()
         values = keys[0].tolist() if width == 1 else [sum(int(k) << (64 * w) for w, k in enumerate(row)) for row in zip(*keys)]
-        return [(entry[i], entry[j]) for i, j in _links(values, part["build"].tolist(), part["probe"].tolist(), radius)]
+        return [(entry[i], entry[j], d) for i, j, d in _links(values, part["build"].tolist(), part["probe"].tolist(), radius)]
 
     def run(batches):
         rest = None
@@ -179,7 +189,7 @@ def _scan(radius: int, width: int):
             for a, b in zip(starts, starts[1:]):
                 if b - a > 1:
                     edges += shard({c: x[a:b] for c, x in part.items()}, [flat[a:b, w] for w in range(width)])
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(3)], ["u", "v", "d"])
 
     return run
 
@@ -205,9 +215,9 @@ def sampled_masks(n: int, radius: int, width: int) -> list[list[int]]:
     return [sorted(rng.choice(bits, size, replace=False).tolist()) for _ in range(kinds)]
 
 
-def linked(entries: DataFrame, n: int, radius: int, width: int, exact: bool, shard: int = SHARD) -> DataFrame:
-    """u, v: a forest of the links between entries (entry, fp), whose fingerprints all differ."""
-    masks = block_masks(n, radius) if exact else sampled_masks(n, radius, width)
+def linked(entries: DataFrame, n: int, radius: int, width: int, exact: bool, shard: int = SHARD, shards_for: int | None = None) -> DataFrame:
+    """u, v, d: a forest of the links between entries (entry, fp), whose fingerprints all differ."""
+    masks = block_masks(n, radius) if exact else sampled_masks(n, shards_for or radius, width)
 
     def key(mask: list[int]):
         words: dict[int, int] = {}
@@ -232,27 +242,64 @@ def linked(entries: DataFrame, n: int, radius: int, width: int, exact: bool, sha
         )
         dealt = dealt.select("kind", "key", "entry", "fp", where.alias("w")).select("kind", "key", "w.*", "entry", "fp")
     placed = with_partitions(dealt, "kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j")
-    return placed.mapInArrow(tidied(_scan(radius, width)), "u long, v long")
+    return placed.mapInArrow(tidied(_scan(radius, width)), "u long, v long, d long")
+
+
+def similar(edges: DataFrame, entries: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The edges (u, v) whose texts' sets of shingles have at least that Jaccard similarity.
+
+    entries: entry, first, key: the row that an entry stands for.
+    """
+
+    def read(batches):
+        for batch in batches:
+            found = [np.unique(np.concatenate([*shingle_hashes(t, words)] or [np.zeros(0, dtype=np.uint64)])).view(np.int64) for t in batch.column(1).to_pylist()]
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["entry", "s"])
+
+    ends = edges.select(F.col("u").alias("entry")).union(edges.select(F.col("v").alias("entry"))).distinct()
+    wanted = ends.join(entries, "entry").select("entry", "first", "key")
+    # rows that share id and text are one
+    rows = docs.select(_id("doc_id").alias("first"), row_key().alias("key"), F.col("text").cast("binary").alias("text"))
+    sets = rows.join(wanted, ["first", "key"]).select("entry", "text").mapInArrow(tidied(read), "entry long, s array<long>")
+    sets = cut(sets.groupBy("entry").agg(F.first("s").alias("s")))
+    both = edges.join(sets.select(F.col("entry").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("entry").alias("v"), F.col("s").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+
+NO_ID = -(1 << 63) + 1
+
+
+def _id(name: str) -> Column:
+    """An id that stands for null too."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, width: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, width: int = 1, sure: int | None = None, similarity: float = 0.0) -> DataFrame:
     """doc_id, row_key, fp, component_id, component: one row for each row of docs (doc_id, text).
 
-    With width 1 every pair within the radius is linked; wider fingerprints meet with probability RECALL at least.
+    With width 1 every pair within the radius is linked; wider fingerprints meet with probability RECALL at least at
+    `sure` bits apart. With `sure`, links of more bits count only if the texts' shingles have that Jaccard similarity.
     """
     rows = cut(fingerprints(docs, words, width))
-    entries = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("entry", F.monotonically_increasing_id()))
-    edges = linked(entries.select("entry", "fp"), entries.count(), radius, width, width == 1)
-    names = components(edges)
+    entries = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct(_id("doc_id").alias("first"), F.col("row_key").alias("key"))).alias("of"))
+    entries = cut(entries.withColumn("entry", F.monotonically_increasing_id()))
+    edges = linked(entries.select("entry", "fp"), entries.count(), radius, width, width == 1, shards_for=sure)
+    if sure is not None:
+        edges = cut(edges.groupBy("u", "v").agg(F.min("d").alias("d")))
+        doubtful = similar(edges.filter(F.col("d") > sure // 2), entries.select("entry", "of.*"), docs, words, similarity)
+        edges = edges.filter(F.col("d") <= sure // 2).select("u", "v").union(doubtful)
+    names = components(edges.select("u", "v"))
     of = entries.join(names, F.col("entry") == F.col("node"), "left").withColumn("root", F.coalesce("root", "entry"))
     of = cut(of.select("fp", "first", "root"))
     lowest = of.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(of.join(lowest, "root").select("fp", "component_id", F.col("root").alias("component")), "fp")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, radius: int = 38, width: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 52, width: int = 4, sure: int = 40, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each component, that of the smallest id, with its columns as they were."""
-    found = cut(near_duplicates(docs, words, radius, width))
+    found = cut(near_duplicates(docs, words, radius, width, sure, similarity))
     no_id = F.lit(-(1 << 63) + 1)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", no_id).alias("id"), "row_key")).alias("k"))
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), no_id), "__key": row_key()})
