@@ -6,7 +6,8 @@ every pair within the radius meets in some shard; each shard's entries form a BK
 the integer Hamming distance to their parent, and a search follows only edges within the radius of the query's
 distance. The trees grow with the table, so a shard's tree lives where its queries are dealt instead of being
 broadcast whole. A shard over SHARD entries is cut into chunks, and each chunk's tree is asked by every chunk.
-Shards return a spanning forest of their links; connected components are found on those.
+Shards return a spanning forest of their links, least distances first; connected components are found on those.
+Where an exact similarity is asked for, links of more than half the `sure` distance are confirmed by their texts.
 
 Shards: with 64 bits and a small radius the bits are cut into `radius + e` blocks and a shard is named by e of
 them, which agree for every pair within the radius (pigeonhole, exact); e grows with the table. Wide fingerprints
@@ -279,8 +280,9 @@ def _id(name: str) -> Column:
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, width: int = 1, sure: int | None = None, similarity: float = 0.0) -> DataFrame:
     """doc_id, row_key, fp, component_id, component: one row for each row of docs (doc_id, text).
 
-    With width 1 every pair within the radius is linked; wider fingerprints meet with probability RECALL at least at
-    `sure` bits apart. With `sure`, links of more bits count only if the texts' shingles have that Jaccard similarity.
+    With width 1 every pair within the radius is linked; wider fingerprints that are `sure` bits apart meet with
+    probability RECALL at least. With `sure`, links of more than half as many bits count only if the texts' shingle
+    sets have that Jaccard similarity.
     """
     rows = cut(fingerprints(docs, words, width))
     entries = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct(_id("doc_id").alias("first"), F.col("row_key").alias("key"))).alias("of"))

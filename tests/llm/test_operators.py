@@ -113,6 +113,28 @@ def test_one_of_each(spark, odd):
     assert ids[7] == 0 and ids[6] == 1 and ids[8] == 1 and max(ids.values()) <= 2
 
 
+def test_similar_texts(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(12):
+        base = rng.choice(words, 300).tolist()
+        for changes in (0, 2, 4, 20):
+            text = list(base)
+            for at in rng.choice(300, changes, replace=False):
+                text[at] = "new"
+            rows.append((len(rows), " ".join(text)))
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(296)} for _, t in rows]
+    close = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    want = brute_components([r[0] for r in rows], close)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, 5, 52, 4, 40, 0.8).collect()}
+    assert all(got[i] == c or (got[i] == i and c != i) for i, c in enumerate(want))  # nothing is linked that isn't close
+    assert sum(got[i] == c for i, c in enumerate(want)) >= 0.95 * len(want)
+    kept = simhash.one_of_each(frame).collect()
+    assert {r.doc_id for r in kept} == {i for i, c in got.items() if i == c}
+
+
 def brute_cut(texts, length):
     count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     for t in texts:
