@@ -1,8 +1,10 @@
 """A training corpus from `documents`: five stages, each an operator of sparkloom.llm over all that is left.
 
 1. language: documents whose language can't be told (no letter) go.
-2. near_duplicates: SimHash over five-word shingles, 256 bits; links at an estimated Jaccard similarity of 0.8 or
-   more (38 differing bits: an angle whose cosine is 2 * 0.8 / 1.8); the smallest id of each component stays.
+2. near_duplicates: SimHash over five-word shingles, 256 bits. Pairs within 52 bits are looked for, in shards that
+   pairs 40 bits apart share with probability 0.95 or more (a Jaccard similarity of 0.8 gives about 39 bits); links
+   of more than 20 bits count if the shingle sets' exact Jaccard similarity is 0.8 or more. The smallest id of each
+   component stays.
 3. repeated_strings: every string of REPEAT bytes that also starts elsewhere is cut from the texts.
 4. mixing: sources are repeated or thinned to their target weights; a document comes once for each repetition.
 5. packing: the rows of each packed sequence.
@@ -31,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, words=5, radius=38, width=4)
+    return simhash.one_of_each(docs, words=5, radius=52, width=4, sure=40, similarity=0.8)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
