@@ -87,10 +87,10 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), max_epochs: int = 3, seed: str
 
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it; columns as they were."""
-    plan = mixed.filter("repeats > 0").groupBy("doc_id", "row_key").agg(F.sum("repeats").alias("r"), F.count("*").alias("c"))
+    plan = mixed.filter("repeats > 0").groupBy("doc_id", "row_key").agg(F.sum("repeats").alias("r"), F.count("*").alias("c")).alias("p")
     names = docs.columns
-    left = docs.withColumn("__key", row_key()).alias("l")
-    right = plan.alias("r")
-    rows = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.__key") == F.col("r.row_key")))
+    # a row's columns travel as one, apart from the plan's
+    left = docs.select(F.col("doc_id").alias("id"), row_key().alias("key"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
+    rows = left.join(plan, F.col("id").eqNullSafe(F.col("p.doc_id")) & (F.col("key") == F.col("p.row_key")))
     # rows that are wholly equal share their repetitions evenly, rounded up
-    return rows.withColumn("__times", F.expr("explode(sequence(1, cast(ceil(r / c) as int)))")).select(*[F.col(f"l.`{n}`") for n in names])
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.ceil(F.col("p.r") / F.col("p.c")).cast("int")))).select(*[F.col(f"row.`{n}`") for n in names])

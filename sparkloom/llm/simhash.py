@@ -304,12 +304,12 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = 52, width: int =
     found = cut(near_duplicates(docs, words, radius, width, sure, similarity))
     no_id = F.lit(-(1 << 63) + 1)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", no_id).alias("id"), "row_key")).alias("k"))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), no_id), "__key": row_key()})
-    first = first.select(F.col("k.id").alias("__id"), F.col("k.row_key").alias("__key"))
-    kept = keyed.join(first, ["__id", "__key"], "left_semi")
+    # a row's columns travel as one, apart from its key
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("id"), row_key().alias("key"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
+    kept = keyed.join(first.select("k.id", F.col("k.row_key").alias("key")), ["id", "key"], "left_semi")
     if not found.groupBy("doc_id", "row_key").count().filter("count > 1").isEmpty():  # rows that are repeated
-        kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__id"))).filter("__n = 1")
-    return kept.select(*docs.columns)
+        kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("id", "key").orderBy("id"))).filter("n = 1")
+    return kept.select(*[F.col(f"row.`{n}`") for n in docs.columns])
 
 
 def hexed(fp: Column) -> Column:

@@ -15,6 +15,7 @@ from sparkloom.llm import ann, embdedup, langid, mixing, packing, queries, simha
 from sparkloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
+CLASHES = ["r", "c", "p", "l", "n", "id", "key", "row", "row_key", "repeats", "component_id", "rest", "windows", "lang_pred"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, size long, item long"
 
 
@@ -28,7 +29,7 @@ def odd(spark):
     texts = [None, "", "   ", "one", "one two", "!!! 123 ...", long, long, text(50) + ". " + shared + " " + text(50), shared, text(30) + " " + shared, "ab " * 900, "x" * 3000, "ONE two\x0bthree", shared.upper()]
     rows = [(i, t, ["en", "de", None][i % 3], ["a", "b", None, "ü"][i % 4], 0 if t is None else len(t), "f", 1, 2) for i, t in enumerate(texts)]
     rows += [rows[8], (3, "another text under the same id", "en", "a", 30, "f", 1, 2), (None, "no id", "en", "a", 5, "f", 1, 2), (99, text(40), None, None, 1, None, None, None)]
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in CLASHES})
 
 
 def sql(db_tables, query):
