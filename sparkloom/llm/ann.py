@@ -6,10 +6,11 @@ BITS bits. Each index shard keeps the codes' substrings of 8 bits in bucket tabl
 by the pigeonhole rule, in each substring the buckets within its share of the radius, so every code within the
 radius is met; those that are within it are reranked by the float vectors in double precision. The radius is the
 sample's QUANTILE of code distances from queries to their true nearest, which are farther in a sample than
-in the whole table. A shard with fewer than k codes within the radius is reranked whole, so k are always found.
+in the whole table. A block with fewer than k codes within the radius is reranked whole, so k are always found.
 
-Queries go to the shards in blocks of at most QUERY_BLOCK rows, which bounds what is broadcast; each shard
-returns its k best for each query and a ranked window merges them.
+Queries go to the shards in blocks of at most QUERY_BLOCK rows, which bounds what is broadcast; each shard indexes
+INDEX_ROWS of its rows at a time, returns its k best for each query, and a ranked window merges them. Scores are
+summed alike for every row, so equal vectors tie whatever shard or place they have.
 
 Defined cases: null or zero vectors and vectors with null or non-finite components take no part, neither do rows
 without id or with another length than the most frequent; rows that share the query's id are its own; a table
@@ -18,6 +19,8 @@ with fewer than k candidates gives them all; an empty table gives an empty table
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +31,8 @@ from .common import cut, with_partitions
 BITS = 128
 SAMPLE = 4096
 QUERY_BLOCK = 8192
+#: Rows of a shard that are indexed at once.
+INDEX_ROWS = 1 << 17
 QUANTILE = 0.99
 SEED = 7
 OUT = "query_row long, query_id long, vec_id long, score double"
@@ -120,7 +125,7 @@ class MultiIndex:
         return found[np.bitwise_count(self.codes[found] ^ code).sum(1, dtype=np.int64) <= self.radius]
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE, query_block: int = QUERY_BLOCK, index_rows: int = INDEX_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where is_query holds, its k nearest by inner product."""
     spark = vectors.sparkSession
     rows = cut(usable(vectors.select("vec_id", "embedding")).select("vec_id", "v", is_query.alias("q")))
@@ -143,7 +148,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE, que
         if not len(block):
             continue
         sent = spark.sparkContext.broadcast((codes, block["row"].to_numpy(), block["vec_id"].to_numpy(), np.stack([np.asarray(x, dtype=np.float64) for x in block["v"]])))
-        part = shards.mapInArrow(_searcher(sent, k), OUT)
+        part = shards.mapInArrow(_searcher(sent, k, index_rows), OUT)
         found = part if found is None else found.unionAll(part)
     if found is None:
         return empty
@@ -151,37 +156,43 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE, que
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
-def _searcher(sent, k: int):
+def _searcher(sent, k: int, index_rows: int):
+    def best_of(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, -scores))[:k]
+        return ids[order], scores[order]
+
     def search(batches):
-        ids, vectors = [], []
-        for batch in batches:
-            ids.append(batch.column(0).to_numpy(zero_copy_only=False))
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            vectors.append(flat.reshape(batch.num_rows, -1) if batch.num_rows else None)
-        vectors = [v for v in vectors if v is not None]
-        if not vectors:
-            return
-        ids, x = np.concatenate(ids), np.concatenate(vectors)
         codes, rows, query_ids, queries = sent.value
-        index = MultiIndex(codes.encode(x), codes.radius)
         wanted = codes.encode(queries, True)
-        out: list[list] = [[], [], [], []]
-        for row, query_id, query, code in zip(rows, query_ids, queries, wanted):
-            at = index.within(code)
-            at = at[ids[at] != query_id]
-            if len(at) < k:
-                at = np.flatnonzero(ids != query_id)
-            score = x[at] @ query
-            if len(at) > k:
-                kept = score >= np.partition(score, len(at) - k)[len(at) - k]
-                at, score = at[kept], score[kept]
-            best = np.lexsort((ids[at], -score))[:k]
-            out[0].append(np.full(len(best), row))
-            out[1].append(np.full(len(best), query_id))
-            out[2].append(ids[at[best]])
-            out[3].append(score[best])
-        if out[0]:
-            cols = [np.concatenate(c) for c in out]
+        best = [(np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in rows]
+
+        def look(ids: np.ndarray, x: np.ndarray) -> None:
+            """Index a block of the shard and merge what it holds into the best."""
+            index, longest = MultiIndex(codes.encode(x), codes.radius), np.sqrt((x * x).sum(1).max())
+            for q, (query_id, query, code) in enumerate(zip(query_ids, queries, wanted)):
+                at = index.within(code)
+                at = at[ids[at] != query_id]
+                if len(at) < k:
+                    at = np.flatnonzero(ids != query_id)
+                if len(at) > k:  # rough products, rounded by place, then the same sum for every row, so that copies tie
+                    rough = x[at] @ query
+                    slack = 1e-12 * longest * np.linalg.norm(query)
+                    at = at[rough >= np.partition(rough, len(at) - k)[len(at) - k] - slack]
+                score = (x[at] * query).sum(1)
+                best[q] = best_of(np.concatenate([best[q][0], ids[at]]), np.concatenate([best[q][1], score]))
+
+        ids, vectors, held = [], [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                ids.append(batch.column(0).to_numpy(zero_copy_only=False))
+                vectors.append(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                held += batch.num_rows
+            if held and (batch is None or held >= index_rows):
+                look(np.concatenate(ids), np.concatenate(vectors))
+                ids, vectors, held = [], [], 0
+        sizes = [len(i) for i, _ in best]
+        if sum(sizes):
+            cols = [np.repeat(rows, sizes), np.repeat(query_ids, sizes), np.concatenate([i for i, _ in best]), np.concatenate([s for _, s in best])]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["query_row", "query_id", "vec_id", "score"])
 

@@ -8,8 +8,8 @@ sorted by id and place; every span but the first of its hash is repeated, and th
 removed. White space between words doesn't count for equality, anything else does.
 
 Only hashes are dealt for that, and a task that meets a very frequent span streams over its rows. Defined cases: a
-null text is empty and stays; rows that share an id are rows of their own, but rows that share both id and
-text can't be told apart: all of them lose what repeats, as none is the first; a text with fewer than WORDS words or SPAN sentences loses nothing; an empty table gives an empty table.
+null text is empty and stays; rows that share an id are rows of their own, and of rows that share both id and
+text one, whichever, counts as the first; a text with fewer than WORDS words or SPAN sentences loses nothing; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import tidied, with_partitions
@@ -63,6 +63,19 @@ def sentences(text: bytes, cache: dict[bytes, bool]) -> list[tuple[int, int, lis
     return out
 
 
+def span_ends(counts: list[int], span: int, least: int):
+    """Where the span that starts at each sentence ends; counts are the sentences' words."""
+    last, held = 0, 0
+    for i, n in enumerate(counts):
+        while last < len(counts) and (held < least or last - i < span):
+            held += counts[last]
+            last += 1
+        if held < least or last - i < span:
+            return
+        yield last
+        held -= n
+
+
 def _hashed(span: int, least: int):
     def run(batches):
         cache: dict[bytes, bool] = {}
@@ -74,14 +87,7 @@ def _hashed(span: int, least: int):
             for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 parts = sentences(text, cache)
                 joined = [b" ".join(p[2]) for p in parts]
-                counts = [len(p[2]) for p in parts]
-                last, held = 0, 0
-                for i in range(len(parts)):
-                    while last < len(parts) and (held < least or last - i < span):
-                        held += counts[last]
-                        last += 1
-                    if held < least or last - i < span:
-                        break
+                for i, last in enumerate(span_ends([len(p[2]) for p in parts], span, least)):
                     digest = xxhash.xxh3_128_intdigest(b" ".join(joined[i:last]))
                     place = doc_id, key, i
                     known = (before := least_place.get(digest)) is not None and before < place
@@ -92,7 +98,6 @@ def _hashed(span: int, least: int):
                         least_place[digest] = place
                     for c, x in zip(cols, (doc_id, key, i, last - i, (digest & (1 << 64) - 1) - (1 << 63), (digest >> 96) - (1 << 31), known)):
                         c.append(x)
-                    held -= counts[i]
                 if len(least_place) > SEEN:
                     least_place.clear()
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
@@ -102,39 +107,49 @@ def _hashed(span: int, least: int):
 
 
 def _repeated(batches):
-    """Of rows sorted by hash, all but the first of each."""
-    last = None
+    """Of rows sorted by hash and place, all but those at the first place of each hash."""
+    last, first = None, (0, 0, 0)
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, g = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("h", "g"))
-        same = np.concatenate([[last == (h[0], g[0])], (h[1:] == h[:-1]) & (g[1:] == g[:-1])])
-        last = h[-1], g[-1]
+        h, g, *place = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("h", "g", "doc_id", "row_key", "at"))
+        new = np.concatenate([[last != (h[0], g[0])], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+        # where each row's hash begins; 0 is the place that came with the batches before
+        begins = np.maximum.accumulate(np.where(new, np.arange(1, len(h) + 1), 0))
+        starts = [np.concatenate([[f], p])[begins] for f, p in zip(first, place)]
+        apart = np.logical_or.reduce([p != s for p, s in zip(place, starts)])
+        last, first = (h[-1], g[-1]), tuple(s[-1] for s in starts)
         known = batch.column(batch.schema.get_field_index("known")).to_numpy(zero_copy_only=False)
-        yield batch.filter(pa.array(same | known))
+        yield batch.filter(pa.array(apart | known))
 
 
-def _rest(batches):
-    cache: dict[bytes, bool] = {}
-    for batch in batches:
-        rows, held = [], 0
-        for doc_id, key, text, found in zip(*(c.to_pylist() for c in batch.columns)):
-            parts = sentences(text, cache) if found else []
-            gone = np.zeros(len(parts), dtype=bool)
-            for f in found or []:
-                gone[f["at"] : f["at"] + f["n"]] = True
-            kept, at = [], 0
-            for i in np.flatnonzero(gone):
-                kept.append(text[at : parts[i][0]])
-                at = parts[i][1]
-            rest = b"".join([*kept, text[at:]])
-            rows.append((doc_id, int(gone.sum()), len(text) - len(rest), rest.decode("utf-8", "replace")))
-            held += len(rest)
-            if held > 8 << 20:
+def _rest(span: int, least: int):
+    def run(batches):
+        cache: dict[bytes, bool] = {}
+        for batch in batches:
+            rows, held = [], 0
+            for doc_id, text, again, found in zip(*(c.to_pylist() for c in batch.columns)):
+                parts = sentences(text, cache) if found or again else []
+                gone = np.zeros(len(parts), dtype=bool)
+                for f in found or []:
+                    gone[f["at"] : f["at"] + f["n"]] = True
+                if again:  # all spans of a row's later copies are repeated
+                    for i, last in enumerate(span_ends([len(p[2]) for p in parts], span, least)):
+                        gone[i:last] = True
+                kept, at = [], 0
+                for i in np.flatnonzero(gone):
+                    kept.append(text[at : parts[i][0]])
+                    at = parts[i][1]
+                rest = b"".join([*kept, text[at:]])
+                rows.append((doc_id, int(gone.sum()), len(text) - len(rest), rest.decode("utf-8", "replace")))
+                held += len(rest)
+                if held > 8 << 20:
+                    yield _results(rows)
+                    rows, held = [], 0
+            if rows:
                 yield _results(rows)
-                rows, held = [], 0
-        if rows:
-            yield _results(rows)
+
+    return run
 
 
 def _results(rows: list[tuple]) -> pa.RecordBatch:
@@ -149,7 +164,9 @@ def remove_repeated_spans(docs: DataFrame, span: int = SPAN, words: int = WORDS)
     spans = base.mapInArrow(tidied(_hashed(span, words)), PLACED)
     spans = with_partitions(spans, "h").sortWithinPartitions("h", "g", "doc_id", "row_key", "at")
     again = spans.mapInArrow(tidied(_repeated), PLACED).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("at", "n")).alias("found")).alias("r")
-    l = with_partitions(base, "doc_id", "row_key").alias("l")
+    # the window's order is the join's, too
+    copy = F.row_number().over(Window.partitionBy("doc_id", "row_key").orderBy("doc_id"))
+    l = with_partitions(base, "doc_id", "row_key").withColumn("again", copy > 1).alias("l")
     on = (F.col("l.doc_id") == F.col("r.doc_id")) & (F.col("l.row_key") == F.col("r.row_key"))
-    rest = l.join(again, on, "left").select("l.doc_id", "l.row_key", "l.text", "r.found").mapInArrow(tidied(_rest), RESULT)
+    rest = l.join(again, on, "left").select("l.doc_id", "l.text", "l.again", "r.found").mapInArrow(tidied(_rest(span, words)), RESULT)
     return rest.withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID})"))

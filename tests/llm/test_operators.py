@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import ann, embdedup, langid, mixing, packing, queries, simhash, spans, suffix, toxicity, warc
@@ -236,6 +237,10 @@ def test_nearest(spark):
             assert all(abs(dict(known)[j] @ v - s) < 1e-9 for j, s in got[i])
             hit += len({j for _, j in best} & {j for j, _ in got[i]})
     assert set(got) == {i for i, _ in known if i % 20 == 0} and hit >= 0.9 * 20 * len(got)
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    blocks = ann.nearest(frame, F.col("vec_id") % 20 == 0, index_rows=32).withColumn("n", F.row_number().over(rank))
+    assert blocks.filter("n <> rank").count() == 0 and blocks.groupBy("query_id").count().filter("count <> 20").count() == 0
+    assert all(len({x for j, x in pairs if 90 <= j < 95}) <= 1 for pairs in got.values())  # copies tie
     assert ann.nearest(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.nearest(frame.filter("vec_id < 3"), F.col("vec_id") % 20 == 0).count() == 2
 
@@ -347,6 +352,15 @@ def test_spans(spark, odd):
     assert spans.remove_repeated_spans(odd.limit(0)).count() == 0
 
 
+def test_spans_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" + "." * (i % 8 == 7) for i in range(64))
+    rows = [(1, "head. " + text), (5, text), (5, text), (5, text), (5, "other " + text), (None, text), (7, "a. b. c.")]
+    got = Counter((r.doc_id, r.text.strip()) for r in spans.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sum(len(t) >= len(text) for _, t in got.elements()) == 1 and got.total() == len(rows)  # the passage stays once
+    alone = spans.remove_repeated_spans(spark.createDataFrame(rows[1:4], "doc_id long, text string")).collect()
+    assert sorted(r.text for r in alone) == ["", "", text]
+
+
 def test_spans_by_brute_force(spark):
     rows = sorted((r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     seen, gone = set(), defaultdict(set)
