@@ -8,7 +8,8 @@ fills the rest of the target, so a source misses its target by half a document a
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in
 order; rows that share an id are rows of their own; an empty table gives an empty table. Only DataFrame
 functions are used. Nothing is gathered by source: totals are partial sums, the seeded order is cut into
-BUCKETS slices by hash, and rows are ordered only inside the one slice where a source's target ends.
+BUCKETS slices by hash, sums are looked up by their first digits and then by all of them, and rows are ordered only
+inside the one slice where a source's target ends.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .common import WORD, cut, row_key
 #: Hexadecimal digits that name a slice of the seeded order; BUCKETS slices.
 DIGITS = 4
 BUCKETS = 16**DIGITS
+#: First digits by which a source's slices are told apart before they are looked at one by one.
+TOP = 2
 #: Parts of a source that are joined apart.
 SALTS = 64
 
@@ -60,6 +63,13 @@ def targets(sizes: DataFrame, weights=(5.0, 2.0, 1.0), max_epochs: int = 3) -> D
     return table.select("source", "source_size", clamped.alias("capped"), F.when(clamped, F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(max(level, 0.0))).alias("target"))
 
 
+def _ends(goal: DataFrame, parts: DataFrame) -> DataFrame:
+    """source, rest, slice, below: the part (source, slice, words, below) of each source in which its rest ends."""
+    g, p = goal.alias("g"), parts.alias("p")
+    inside = (F.col("p.below") <= F.col("g.rest")) & (F.col("g.rest") < F.col("p.below") + F.col("p.words"))
+    return g.join(p, F.col("g.source").eqNullSafe(F.col("p.source")) & inside).select("g.source", "g.rest", "p.slice", "p.below")
+
+
 def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """doc_id, row_key, source, size, source_size, target, repeats, taken; one row for each row of docs."""
     sizes = cut(sized(docs, seed))
@@ -67,10 +77,15 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), max_epochs: int = 3, seed: str
     whole = F.when(F.col("capped"), F.lit(float(max_epochs))).when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0.0)
     goal = goal.withColumn("whole", whole).withColumn("rest", F.when(F.col("capped"), 0.0).otherwise(F.col("target") - F.col("whole") * F.col("source_size")))
     slices = sizes.groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    slices = slices.withColumn("below", F.sum("words").over(Window.partitionBy("source").orderBy("slice")) - F.col("words"))
-    g, s = goal.alias("g"), slices.alias("s")
-    edge = g.join(s, F.col("g.source").eqNullSafe(F.col("s.source")) & (F.col("s.below") <= F.col("g.rest")) & (F.col("g.rest") < F.col("s.below") + F.col("s.words")))
-    edge = edge.select(F.col("g.source").alias("edge_source"), F.col("s.slice").alias("edge_slice"), "below")
+    # the slice where a source's rest ends, found by its first digits and then among those that share them
+    tops = slices.groupBy("source", F.substring("slice", 1, TOP).alias("slice")).agg(F.sum("words").alias("words"))
+    top = _ends(goal.select("source", "rest"), tops.withColumn("below", F.sum("words").over(Window.partitionBy("source").orderBy("slice")) - F.col("words")))
+    top = top.select(F.col("source").alias("top_source"), F.col("slice").alias("top"), F.col("below").alias("before"), "rest")
+    inner = slices.withColumn("first", F.substring("slice", 1, TOP)).join(top, F.col("source").eqNullSafe(F.col("top_source")) & (F.col("first") == F.col("top")))
+    inner = inner.withColumn("below", F.col("before") + F.sum("words").over(Window.partitionBy("source", "first").orderBy("slice")) - F.col("words"))
+    edge = inner.filter((F.col("below") <= F.col("rest")) & (F.col("rest") < F.col("below") + F.col("words")))
+    edge = edge.select(F.col("source").alias("edge_source"), F.col("slice").alias("edge_slice"), "below")
+    g = goal.alias("g")
     goal = cut(g.join(edge, F.col("g.source").eqNullSafe(F.col("edge_source")), "left").select("g.*", "edge_slice", "below").withColumnRenamed("source", "goal_source"))
     # a source's rows meet its goal in SALTS places
     goal = goal.withColumn("goal_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
