@@ -6,7 +6,8 @@ every pair within the radius meets in some shard; each shard's entries form a BK
 the integer Hamming distance to their parent, and a search follows only edges within the radius of the query's
 distance. The trees grow with the table, so a shard's tree lives where its queries are dealt instead of being
 broadcast whole. A shard over SHARD entries is cut into chunks, and each chunk's tree is asked by every chunk.
-Shards return a spanning forest of their links, least distances first; connected components are found on those.
+Shards return a spanning forest of their links, least distances first, then by fingerprint, so that reruns agree;
+connected components are found on those.
 Where an exact similarity is asked for, links of more than half the `sure` distance are confirmed by their texts.
 
 Shards: with 64 bits and a small radius the bits are cut into `radius + e` blocks and a shard is named by e of
@@ -167,6 +168,9 @@ def _scan(radius: int, width: int):
     """Search the shards of a partition that is sorted by shard; a shard's rows are held, no more."""
 
     def shard(part: np.ndarray, keys: list[np.ndarray]):
+        # by fingerprint, so that the forest doesn't hang on the order in which rows came
+        order = np.lexsort(keys)
+        part, keys = {c: x[order] for c, x in part.items()}, [k[order] for k in keys]
         entry = part["entry"].tolist()
         values = keys[0].tolist() if width == 1 else [sum(int(k) << (64 * w) for w, k in enumerate(row)) for row in zip(*keys)]
         return [(entry[i], entry[j], d) for i, j, d in _links(values, part["build"].tolist(), part["probe"].tolist(), radius)]
@@ -235,7 +239,7 @@ def linked(entries: DataFrame, n: int, radius: int, width: int, exact: bool, sha
         dealt = dealt.select("kind", "key", one.alias("i"), one.alias("j"), F.lit(True).alias("build"), F.lit(True).alias("probe"), "entry", "fp")
     else:
         dealt = dealt.join(hot, ["kind", "key"], "left").withColumn("chunks", F.coalesce(F.ceil(F.col("count") / shard), F.lit(1)).cast("int"))
-        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("entry", F.lit(1)), F.col("chunks")).cast("int"))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int"))
         # chunk i asks the tree of chunk j <= i
         where = F.expr(
             "explode(concat(transform(sequence(0, own), x -> named_struct('i', own, 'j', x, 'build', x = own, 'probe', true)),"
