@@ -1,21 +1,24 @@
 """Substring dedup by sliding sentence spans.
 
 A text is read as sentences: pieces that end at `.`, `!` or `?` before white space, at a line break, or, within
-long sentences, after a word whose hash is divisible by CUT, so that a shared passage is cut alike whatever stands
-before it. A span is a run of consecutive sentences, SPAN of them and as many more as it takes to hold WORDS
-words; the span that starts at each sentence is hashed (96 bits). Spans of all documents are dealt by hash and
-sorted by id and place; every span but the first of its hash is repeated, and the sentences it covers are
-removed. White space between words doesn't count for equality, anything else does.
+long sentences, after the word whose hash is the least of some CUT words in a row (the last of equal ones), so that
+a shared passage is cut alike whatever stands before or after it and no piece has more than CUT words. A span is a
+run of consecutive sentences, SPAN of them and as many more as it takes to hold WORDS words; the span that starts at
+each sentence is hashed (96 bits). Spans of all documents are dealt by hash and sorted by id and place; every span
+but the first of its hash is repeated, and the sentences it covers are removed. White space between words doesn't
+count for equality, but for line breaks, which end sentences.
+
+Of any 50 words in a row the first cut that doesn't hang on the rest is among the first CUT, the next SPAN follow
+within CUT words each, and WORDS more words hold a cut before the last CUT: each passage of 50 words has a span.
 
 Only hashes are dealt for that, and a task that meets a very frequent span streams over its rows. Defined cases: a
 null text is empty and stays; rows that share an id are rows of their own, and of rows that share both id and
-text one, whichever, counts as the first; a text with fewer than WORDS words or SPAN sentences loses nothing; an empty table gives an empty table.
+text one, whichever, counts as the first; a text with fewer than WORDS words or SPAN sentences loses nothing, be it a
+copy or not (one of over 2 * CUT words has SPAN sentences); an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,39 +31,52 @@ from .common import tidied, with_partitions
 SPAN = 3
 WORDS = 20
 CUT = 12
-#: Words whose hash a worker remembers.
+#: Words whose rank a worker remembers.
 CACHE = 300_000
 NO_ID = -(1 << 63) + 1
 PLACED = "doc_id long, row_key long, at int, n int, h long, g int, known boolean"
 #: Spans whose least place a task remembers.
 SEEN = 100_000
 RESULT = "doc_id long, n_removed int, removed_bytes long, text string"
-_word = re.compile(rb"[^\x20\x09-\x0D]+")
-_line = re.compile(rb"[\n\r]")
+_space = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
+def _rank(word: bytes) -> int:
+    """0 for a word that ends a sentence, else 32 bits of its hash."""
+    return 0 if word.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?") else xxhash.xxh64_intdigest(word) >> 32 | 1
 
 
-def sentences(text: bytes, cache: dict[bytes, bool]) -> list[tuple[int, int, list[bytes]]]:
+def sentences(text: bytes, cache: dict[bytes, int]) -> list[tuple[int, int, list[bytes]]]:
     """(start, end, words) of each sentence, as bytes positions."""
-    out, words, start, end = [], [], 0, 0
-    for m in _word.finditer(text):
-        if words and _line.search(text, end, m.start()):
-            out.append((start, end, words))
-            words = []
-        if not words:
-            start = m.start()
-        w, end = m[0], m.end()
-        words.append(w)
-        ends = cache.get(w)
-        if ends is None:
-            if len(cache) >= CACHE:
-                cache.clear()
-            ends = cache[w] = w.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?") or xxhash.xxh64_intdigest(w) % CUT == 0
-        if ends:
-            out.append((start, end, words))
-            words = []
-    if words:
-        out.append((start, end, words))
-    return out
+    words = text.split()
+    if not words:
+        return []
+    ranks = list(map(cache.get, words))
+    if None in ranks:
+        if len(cache) >= CACHE:
+            cache.clear()
+        for i, r in enumerate(ranks):
+            if r is None:
+                ranks[i] = cache[words[i]] = _rank(words[i])
+    points = np.frombuffer(text, dtype=np.uint8)
+    gap = np.concatenate([[True], _space[points], [True]])
+    turns = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    rank = np.array(ranks, dtype=np.uint64)
+    lines = np.flatnonzero((points == 10) | (points == 13))
+    rank[:-1][np.searchsorted(lines, starts[1:]) > np.searchsorted(lines, ends[:-1])] = 0
+    last = rank == 0
+    last[-1] = True
+    if len(words) >= CUT:
+        # the least of each CUT words, with the place in the lower bits, backwards
+        least, size = rank << np.uint64(32) | np.arange((1 << 32) - 1, (1 << 32) - 1 - len(words), -1, dtype=np.uint64), 1
+        while size < CUT:
+            step = min(size, CUT - size)
+            least, size = np.minimum(least[:-step], least[step:]), size + step
+        last[(1 << 32) - 1 - (least & np.uint64((1 << 32) - 1)).astype(np.int64)] = True
+    to = np.flatnonzero(last) + 1
+    at = np.concatenate([[0], to[:-1]])
+    return [(s, e, words[a:b]) for s, e, a, b in zip(starts[at].tolist(), ends[to - 1].tolist(), at.tolist(), to.tolist())]
 
 
 def span_ends(counts: list[int], span: int, least: int):
@@ -78,7 +94,7 @@ def span_ends(counts: list[int], span: int, least: int):
 
 def _hashed(span: int, least: int):
     def run(batches):
-        cache: dict[bytes, bool] = {}
+        cache: dict[bytes, int] = {}
         # a span that comes after another of its hash in the task is not the first, and goes anywhere
         least_place: dict[int, tuple[int, int, int]] = {}
         part, told = TaskContext.get().partitionId(), 0
@@ -125,7 +141,7 @@ def _repeated(batches):
 
 def _rest(span: int, least: int):
     def run(batches):
-        cache: dict[bytes, bool] = {}
+        cache: dict[bytes, int] = {}
         for batch in batches:
             rows, held = [], 0
             for doc_id, text, again, found in zip(*(c.to_pylist() for c in batch.columns)):

@@ -379,6 +379,24 @@ def test_spans_by_brute_force(spark):
     assert {r.doc_id: r.n_removed for r in got} == {d: len(gone[d]) for d, _ in rows}
 
 
+def test_spans_of_planted_passages(spark):
+    texts = sorted(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if r.text and len(r.text.split()) > 200)
+    rng, rows, n = np.random.default_rng(4), [], iter(range(10**6))
+    foreign = lambda: " ".join(f"x{next(n)}" for _ in range(int(rng.integers(1, 40))))
+    for i in range(300):  # words of their own, half of them without the end of a sentence
+        text = re.findall(r"[^\x20\x09-\x0D]+", texts[int(rng.integers(len(texts)))])
+        at = int(rng.integers(len(text) - 50))
+        passage = " ".join(f"p{i}q{k}{w if i % 2 else re.sub('[^a-z]', '', w)}" for k, w in enumerate(text[at : at + 50]))
+        rows += [(2 * i, f"{foreign()} {passage} {foreign()}"), (2 * i + 1, f"{foreign()} {passage} {foreign()}")]
+    copy = " ".join(f"c{i}" for i in range(25))  # a whole text
+    rows += [(1000, copy), (1001, copy)]
+    got = {r.doc_id: r for r in spans.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in range(300) if not got[2 * i + 1].n_removed] == []
+    for i, text in rows[:600]:  # the first copy stays, and so does what stands around the second
+        assert got[i].text == text if i % 2 == 0 else [w for w in got[i].text.split() if w[0] == "x"] == [w for w in text.split() if w[0] == "x"]
+    assert got[1000].text == copy and not got[1001].text.strip()
+
+
 def test_toxicity(spark, odd):
     rng = np.random.default_rng(8)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 3))
