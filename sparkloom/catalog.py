@@ -49,12 +49,16 @@ def line_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operators.line_digests(table(spark, sf_dir, "documents"))
 
 
+def each_line_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operators.each_line_digest(table(spark, sf_dir, "documents"))
+
+
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", functions.excerpt(F.col("text"), LIMIT).alias("excerpt"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (bm25_topk, term_document_frequency, document_manifest, equal_documents, manifest_drift, email_lines, line_digests, excerpts)}
+    return {f.__name__: f for f in (bm25_topk, term_document_frequency, document_manifest, equal_documents, manifest_drift, email_lines, line_digests, each_line_digest, excerpts)}
 
 
 def _bm25_sql() -> str:
@@ -94,6 +98,9 @@ FROM e FULL JOIN a ON e.doc_id = a.doc_id WHERE e.h IS DISTINCT FROM a.h""",
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
 SELECT doc_id, line::INT AS line, len(regexp_extract_all(t, '{functions.EMAIL}'))::INT AS n FROM l WHERE regexp_matches(t, '{functions.EMAIL}')""",
         "line_digests": "SELECT doc_id, len(string_split(text, chr(10)))::INT AS n_lines, sha256(string_split(text, chr(10))[1]) AS first_sha256 FROM documents WHERE text IS NOT NULL",
+        "each_line_digest": """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+SELECT doc_id, line::INT AS line, sha256(t) AS sha256 FROM l""",
         "excerpts": f"""
 WITH c AS (SELECT doc_id, trim(regexp_replace(text, '{SPACE}', ' ', 'g')) AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) <= {LIMIT} THEN t ELSE rtrim(left(t, {LIMIT - 1})) || '…' END AS excerpt FROM c""",

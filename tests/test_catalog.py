@@ -1,5 +1,7 @@
 """Every query with SQL gives the SQL's rows; the entry runs."""
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -35,3 +37,10 @@ def test_null_and_empty_texts(spark):
     assert operators.bm25(docs.limit(0), ["a"], 5).count() == 0
     assert operators.manifest(docs, "doc_id", "text").filter("size = 0").count() == 2
     assert operators.equal_content(docs, "doc_id", "text").count() == 1
+
+
+def test_each_line_has_a_digest(spark):
+    docs = spark.createDataFrame([(1, "a\nb\n"), (2, "a\nc\n"), (3, ""), (4, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.line): r.sha256 for r in operators.each_line_digest(docs).collect()}
+    lines = {(1, 1): "a", (1, 2): "b", (1, 3): "", (2, 1): "a", (2, 2): "c", (2, 3): "", (3, 1): ""}
+    assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in lines.items()}
