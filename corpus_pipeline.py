@@ -3,7 +3,7 @@
 1. language: documents whose language can't be told (no letter) go.
 2. near_duplicates: SimHash over five-word shingles, 256 bits. Pairs within 52 bits are looked for, in shards that
    pairs 40 bits apart share with probability 0.95 or more (a Jaccard similarity of 0.8 gives about 39 bits); links
-   of more than 20 bits count if the shingle sets' exact Jaccard similarity is 0.8 or more. The smallest id of each
+   count if the shingle sets' exact Jaccard similarity is 0.8 or more. The smallest id of each
    component stays.
 3. repeated_strings: every string of REPEAT bytes that also starts elsewhere is cut from the texts.
 4. mixing: sources are repeated or thinned to their target weights; a document comes once for each repetition.

@@ -8,7 +8,8 @@ distance. The trees grow with the table, so a shard's tree lives where its queri
 broadcast whole. A shard over SHARD entries is cut into chunks, and each chunk's tree is asked by every chunk.
 Shards return a spanning forest of their links, least distances first, then by fingerprint, so that reruns agree;
 connected components are found on those.
-Where an exact similarity is asked for, links of more than half the `sure` distance are confirmed by their texts.
+Where an exact similarity is asked for, fingerprints are of distinct shingles, entries are sets of shingles, and
+every link is confirmed by its sets.
 
 Shards: with 64 bits and a small radius the bits are cut into `radius + e` blocks and a shard is named by e of
 them, which agree for every pair within the radius (pigeonhole, exact); e grows with the table. Wide fingerprints
@@ -63,10 +64,19 @@ def shingle_hashes(text: str | bytes | None, words: int, seed: int = SEED):
         yield np.array([hash64(data[a:b], seed) for a, b in zip(lo[at : at + RUN], hi[at : at + RUN])], dtype=np.uint64)
 
 
+def shingle_set(text: str | bytes | None, words: int) -> np.ndarray:
+    """Distinct shingle hashes, ascending."""
+    return np.unique(np.concatenate([*shingle_hashes(text, words)] or [np.zeros(0, dtype=np.uint64)]))
+
+
 def fingerprint(text: str | bytes | None, words: int = 3, width: int = 1) -> list[int]:
     """width unsigned numbers of 64 bits; those after the first come from remixed hashes."""
+    return _bits(shingle_hashes(text, words), width)
+
+
+def _bits(runs, width: int) -> list[int]:
     counts, n = np.zeros((width, 64), dtype=np.int64), 0
-    for hashes in shingle_hashes(text, words):
+    for hashes in runs:
         n += len(hashes)
         for w in range(width):
             if w:
@@ -91,6 +101,24 @@ def fingerprints(docs: DataFrame, words: int = 3, width: int = 1) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("binary").alias("text")).mapInArrow(tidied(run), "doc_id long, row_key long, fp array<long>")
 
 
+def shingle_sets(docs: DataFrame, words: int, width: int) -> DataFrame:
+    """doc_id, row_key, fp of the distinct shingles, n of them, s1 and s2: 128 bits that name the set."""
+
+    def run(batches):
+        for batch in batches:
+            flat, n, names = [], [], []
+            for text in batch.column(2).to_pylist():
+                found = shingle_set(text, words)
+                flat += _bits((found[i : i + RUN] for i in range(0, len(found), RUN)), width)
+                n.append(len(found))
+                names.append(xxhash.xxh3_128_digest(found.tobytes()))
+            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, width, dtype=np.int32), pa.array(np.array(flat, dtype=np.uint64).view(np.int64)))
+            s = np.frombuffer(b"".join(names), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(n, pa.int32()), pa.array(s[:, 0]), pa.array(s[:, 1])], ["doc_id", "row_key", "fp", "n", "s1", "s2"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("binary").alias("text")).mapInArrow(tidied(run), "doc_id long, row_key long, fp array<long>, n int, s1 long, s2 long")
+
+
 class BKTree:
     """Entries by integer Hamming distance to their parent."""
 
@@ -258,7 +286,7 @@ def similar(edges: DataFrame, entries: DataFrame, docs: DataFrame, words: int, s
 
     def read(batches):
         for batch in batches:
-            found = [np.unique(np.concatenate([*shingle_hashes(t, words)] or [np.zeros(0, dtype=np.uint64)])).view(np.int64) for t in batch.column(1).to_pylist()]
+            found = [shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32), pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["entry", "s"])
 
@@ -285,22 +313,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, width: int
     """doc_id, row_key, fp, component_id, component: one row for each row of docs (doc_id, text).
 
     With width 1 every pair within the radius is linked; wider fingerprints that are `sure` bits apart meet with
-    probability RECALL at least. With `sure`, links of more than half as many bits count only if the texts' shingle
-    sets have that Jaccard similarity.
+    probability RECALL at least. With `sure`, fingerprints are of distinct shingles, texts with the same set of
+    shingles are one entry, and links count only if the sets have that Jaccard similarity.
     """
-    rows = cut(fingerprints(docs, words, width))
-    entries = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct(_id("doc_id").alias("first"), F.col("row_key").alias("key"))).alias("of"))
+    by = ["fp"] if sure is None else ["s1", "s2"]
+    rows = cut(fingerprints(docs, words, width) if sure is None else shingle_sets(docs, words, width))
+    about = [] if sure is None else [F.first(c).alias(c) for c in rows.columns if c not in ("doc_id", "row_key", *by)]
+    entries = rows.groupBy(*by).agg(F.min("doc_id").alias("first"), F.min(F.struct(_id("doc_id").alias("first"), F.col("row_key").alias("key"))).alias("of"), *about)
     entries = cut(entries.withColumn("entry", F.monotonically_increasing_id()))
     edges = linked(entries.select("entry", "fp"), entries.count(), radius, width, width == 1, shards_for=sure)
     if sure is not None:
-        edges = cut(edges.groupBy("u", "v").agg(F.min("d").alias("d")))
-        doubtful = similar(edges.filter(F.col("d") > sure // 2), entries.select("entry", "of.*"), docs, words, similarity)
-        edges = edges.filter(F.col("d") <= sure // 2).select("u", "v").union(doubtful)
+        edges = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        edges = cut(similar(edges, entries.select("entry", "of.*"), docs, words, similarity))
     names = components(edges.select("u", "v"))
     of = entries.join(names, F.col("entry") == F.col("node"), "left").withColumn("root", F.coalesce("root", "entry"))
-    of = cut(of.select("fp", "first", "root"))
+    of = cut(of.select(*by, "first", "root"))
     lowest = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(of.join(lowest, "root").select("fp", "component_id", F.col("root").alias("component")), "fp")
+    found = rows.join(of.join(lowest, "root").select(*by, "component_id", F.col("root").alias("component")), by)
+    return found.select("doc_id", "row_key", "fp", "component_id", "component")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, radius: int = 52, width: int = 4, sure: int = 40, similarity: float = 0.8) -> DataFrame:

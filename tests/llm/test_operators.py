@@ -341,6 +341,15 @@ def test_mixing(odd):
     assert many.columns == odd.columns and many.count() >= sum(r.repeats for r in rows)
 
 
+def test_repeated_lines_dont_decide(spark):
+    word = iter(range(10**6))
+    own = lambda n: " ".join(f"u{next(word)}" for _ in range(n))
+    line, text = own(11), own(300)
+    rows = [(1, f"{own(100)} " + f"{line} " * 40), (2, f"{own(100)} " + f"{line} " * 40), (3, text), (4, f"{text} " + f"{line} " * 20)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 52, 4, 40, 0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
 def test_spans(spark, odd):
     passage = "Some shared words stand here. Then more of them follow in a row, as they do. A third sentence ends what both of them hold, and that is all of it."
     docs = [(5, "An opening of its own. " + passage + " An end of its own."), (2, "Other words come first\n" + passage + "\nand others last."), (7, "Nothing is shared in this one. Not even a sentence."), (9, None), (8, "")]
