@@ -9,7 +9,10 @@ broadcast whole. A shard over SHARD entries is cut into chunks, and each chunk's
 Shards return a spanning forest of their links, least distances first, then by fingerprint, so that reruns agree;
 connected components are found on those.
 Where an exact similarity is asked for, fingerprints are of distinct shingles, entries are sets of shingles, and
-every link is confirmed by its sets.
+every link is confirmed by its sets. That first pass may lose links; an exact one follows. With the shingles of all
+sets in one order (rare ones first), two sets of n and m shingles with a similarity of t or more share one of the
+first n - ceil(t n) + 1 and m - ceil(t m) + 1. Entries that share such a shingle and are not yet in one component are
+confirmed like the others, so every pair of that similarity ends in one component.
 
 Shards: with 64 bits and a small radius the bits are cut into `radius + e` blocks and a shard is named by e of
 them, which agree for every pair within the radius (pigeonhole, exact); e grows with the table. Wide fingerprints
@@ -44,6 +47,10 @@ LINKS = 200_000
 RECALL = 0.95
 #: Mean entries of a shard.
 FILL = 32
+#: One of so many rows is read for frequent shingles, which come so often there; no more than COMMON are told apart.
+SAMPLE = 32
+OFTEN = 4
+COMMON = 50_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -101,22 +108,52 @@ def fingerprints(docs: DataFrame, words: int = 3, width: int = 1) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("binary").alias("text")).mapInArrow(tidied(run), "doc_id long, row_key long, fp array<long>")
 
 
-def shingle_sets(docs: DataFrame, words: int, width: int) -> DataFrame:
-    """doc_id, row_key, fp of the distinct shingles, n of them, s1 and s2: 128 bits that name the set."""
+def frequent_shingles(docs: DataFrame, words: int) -> list[int]:
+    """Shingles of several documents of a sample, the most frequent first. Results don't hang on them, only time does."""
 
     def run(batches):
         for batch in batches:
-            flat, n, names = [], [], []
+            sets = [shingle_set(t, words) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], ["s"])
+
+    some = docs.filter(F.pmod(row_key(), F.lit(SAMPLE)) == 0).select(F.col("text").cast("binary").alias("text"))
+    counts = some.mapInArrow(tidied(run), "s long").groupBy("s").count().filter(F.col("count") >= OFTEN)
+    return [r["s"] for r in counts.orderBy(F.desc("count"), "s").limit(COMMON).collect()]
+
+
+def prefix(found: np.ndarray, common: np.ndarray, places: np.ndarray, similarity: float) -> np.ndarray:
+    """The least shingles of a set, rare ones first: of sets that are so similar the least share one at least."""
+    size = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
+    at = np.searchsorted(common, found)
+    known = np.zeros(len(found), dtype=np.int64)
+    if len(common):
+        at = np.minimum(at, len(common) - 1)
+        known = np.where(common[at] == found, places[at], 0)
+    return found[np.lexsort((found, known))[:size]]
+
+
+def shingle_sets(docs: DataFrame, words: int, width: int, similarity: float) -> DataFrame:
+    """doc_id, row_key, fp of the distinct shingles, n of them, their prefix, s1 and s2: 128 bits that name the set."""
+    often = np.array(frequent_shingles(docs, words), dtype=np.int64).view(np.uint64)
+    order = np.argsort(often)
+    common, places = often[order], len(often) - order
+
+    def run(batches):
+        for batch in batches:
+            flat, n, names, least = [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = shingle_set(text, words)
                 flat += _bits((found[i : i + RUN] for i in range(0, len(found), RUN)), width)
                 n.append(len(found))
+                least.append(prefix(found, common, places, similarity))
                 names.append(xxhash.xxh3_128_digest(found.tobytes()))
             lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, width, dtype=np.int32), pa.array(np.array(flat, dtype=np.uint64).view(np.int64)))
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in least])]).astype(np.int32)
+            prefixes = pa.ListArray.from_arrays(starts, pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *least]).view(np.int64)))
             s = np.frombuffer(b"".join(names), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(n, pa.int32()), pa.array(s[:, 0]), pa.array(s[:, 1])], ["doc_id", "row_key", "fp", "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(n, pa.int32()), prefixes, pa.array(s[:, 0]), pa.array(s[:, 1])], ["doc_id", "row_key", "fp", "n", "prefix", "s1", "s2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("binary").alias("text")).mapInArrow(tidied(run), "doc_id long, row_key long, fp array<long>, n int, s1 long, s2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("binary").alias("text")).mapInArrow(tidied(run), "doc_id long, row_key long, fp array<long>, n int, prefix array<long>, s1 long, s2 long")
 
 
 class BKTree:
@@ -301,6 +338,60 @@ def similar(edges: DataFrame, entries: DataFrame, docs: DataFrame, words: int, s
     return both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
+def _meetings(similarity: float):
+    """Of rows sorted by token, the pairs of a token's entries that no links join and whose sizes allow the similarity."""
+
+    def pairs(entry, root, n):
+        order = np.lexsort((entry, n))
+        entry, root, n = entry[order], root[order], n[order]
+        ends = np.searchsorted(n, n / similarity + 1e-9, side="right")
+        for i, end in enumerate(ends.tolist()):
+            other = entry[i + 1 : end][root[i + 1 : end] != root[i]]
+            if len(other):
+                yield np.stack([np.minimum(other, entry[i]), np.maximum(other, entry[i])])
+
+    def out(found):
+        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["u", "v"])
+
+    def run(batches):
+        rest, found, held = None, [], 0
+        for batch in itertools.chain(batches, [None]):
+            cols = [batch.column(i).to_numpy() for i in range(4)] if batch is not None else [np.zeros(0, dtype=np.int64)] * 4
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols)]
+            token = cols[0]
+            if not len(token):
+                continue
+            starts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1])
+            ends = np.append(starts[1:], len(token))
+            if batch is not None:  # the last token may go on
+                rest = [c[starts[-1] :] for c in cols]
+                starts, ends = starts[:-1], ends[:-1]
+            if not len(starts):
+                continue
+            whole = cols[2][: ends[-1]]
+            apart = np.minimum.reduceat(whole, starts) != np.maximum.reduceat(whole, starts)
+            for a, b in zip(starts[apart].tolist(), ends[apart].tolist()):
+                for x in pairs(*(c[a:b] for c in cols[1:])):
+                    found.append(x)
+                    held += x.shape[1]
+                    if held > LINKS:
+                        yield out(found)
+                        found, held = [], 0
+        yield out(found)
+
+    return run
+
+
+def met(entries: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
+    """u, v: entries (entry, n, prefix) whose prefixes share a shingle and that have not the same root in names (node, root)."""
+    of = entries.join(names, F.col("entry") == F.col("node"), "left").withColumn("root", F.coalesce("root", "entry"))
+    tokens = of.select(F.explode("prefix").alias("token"), "entry", "root", F.col("n").cast("long").alias("n"))
+    placed = with_partitions(tokens, "token").sortWithinPartitions("token")
+    return placed.mapInArrow(tidied(_meetings(similarity)), "u long, v long").distinct()
+
+
 NO_ID = -(1 << 63) + 1
 
 
@@ -314,10 +405,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, width: int
 
     With width 1 every pair within the radius is linked; wider fingerprints that are `sure` bits apart meet with
     probability RECALL at least. With `sure`, fingerprints are of distinct shingles, texts with the same set of
-    shingles are one entry, and links count only if the sets have that Jaccard similarity.
+    shingles are one entry, and links count only if the sets have that Jaccard similarity. Pairs that the shards
+    miss, or that a forest left out for links which then failed, meet by a shingle of their prefixes: none is lost.
     """
     by = ["fp"] if sure is None else ["s1", "s2"]
-    rows = cut(fingerprints(docs, words, width) if sure is None else shingle_sets(docs, words, width))
+    rows = cut(fingerprints(docs, words, width) if sure is None else shingle_sets(docs, words, width, similarity))
     about = [] if sure is None else [F.first(c).alias(c) for c in rows.columns if c not in ("doc_id", "row_key", *by)]
     entries = rows.groupBy(*by).agg(F.min("doc_id").alias("first"), F.min(F.struct(_id("doc_id").alias("first"), F.col("row_key").alias("key"))).alias("of"), *about)
     entries = cut(entries.withColumn("entry", F.monotonically_increasing_id()))
@@ -325,6 +417,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, width: int
     if sure is not None:
         edges = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         edges = cut(similar(edges, entries.select("entry", "of.*"), docs, words, similarity))
+        more = cut(met(entries, components(edges), similarity))
+        edges = edges.union(similar(more, entries.select("entry", "of.*"), docs, words, similarity))
     names = components(edges.select("u", "v"))
     of = entries.join(names, F.col("entry") == F.col("node"), "left").withColumn("root", F.coalesce("root", "entry"))
     of = cut(of.select(*by, "first", "root"))

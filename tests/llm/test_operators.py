@@ -350,6 +350,31 @@ def test_repeated_lines_dont_decide(spark):
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 3}
 
 
+def family(seed: int, pairs: int):
+    """Texts from one template, in pairs of a similarity of about 0.82; others are about 0.7 to 0.8 like."""
+    rng, n, rows = np.random.default_rng(seed), iter(range(10**6)), []
+
+    def changed(text: list[str], runs: int, size: int) -> list[str]:
+        text = list(text)
+        for at in rng.choice(290 // size, runs, replace=False) * size:
+            text[at : at + size] = [f"n{next(n)}" for _ in range(size)]
+        return text
+
+    template = [f"t{i}" for i in range(300)]
+    for _ in range(pairs):
+        text = changed(template, 1, 14)
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(changed(text, 1, 25)))]
+    return rows
+
+
+def test_exact_similarity_in_a_family(spark):
+    rows = family(3, 60)
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(296)} for _, t in rows]
+    want = brute_components([r[0] for r in rows], lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 52, 4, 40, 0.8).collect()}
+    assert [got[i] for i, _ in rows] == want
+
+
 def test_spans(spark, odd):
     passage = "Some shared words stand here. Then more of them follow in a row, as they do. A third sentence ends what both of them hold, and that is all of it."
     docs = [(5, "An opening of its own. " + passage + " An end of its own."), (2, "Other words come first\n" + passage + "\nand others last."), (7, "Nothing is shared in this one. Not even a sentence."), (9, None), (8, "")]
