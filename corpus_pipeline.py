@@ -1,10 +1,9 @@
 """A training corpus from `documents`: five stages, each an operator of sparkloom.llm over all that is left.
 
 1. language: documents whose language can't be told (no letter) go.
-2. near_duplicates: SimHash over five-word shingles, 256 bits. Pairs within 52 bits are looked for, in shards that
-   pairs 40 bits apart share with probability 0.95 or more (a Jaccard similarity of 0.8 gives about 39 bits); links
-   count if the shingle sets' exact Jaccard similarity is 0.8 or more. The smallest id of each
-   component stays.
+2. near_duplicates: of documents whose sets of five-word shingles have an exact Jaccard similarity of 0.8 or more,
+   directly or through others, the smallest id stays. SimHash (256 bits, 52 bits apart at most) finds most links,
+   prefixes of the shingle sets find the rest.
 3. repeated_strings: every string of REPEAT bytes that also starts elsewhere is cut from the texts.
 4. mixing: sources are repeated or thinned to their target weights; a document comes once for each repetition.
 5. packing: the rows of each packed sequence.

@@ -375,6 +375,21 @@ def test_exact_similarity_in_a_family(spark):
     assert [got[i] for i, _ in rows] == want
 
 
+def test_exact_similarity_without_shards(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "linked", lambda entries, *a, **b: entries.selectExpr("entry u", "entry v", "0L d").limit(0))
+    rng, rows = np.random.default_rng(5), []
+    for g in range(30):
+        text = [f"g{g}w{i}" for i in range(300)]
+        rows.append((len(rows), " ".join(text)))
+        for at in (int(rng.integers(5, 270)), 20):
+            size = int(rng.integers(20, 32))
+            rows.append((len(rows), " ".join(text[:at] + [f"new{len(rows)}x{i}" for i in range(size)] + text[at + size :])))
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    want = brute_components([r[0] for r in rows], lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 52, 4, 40, 0.8).collect()}
+    assert [got[i] for i, _ in rows] == want and 30 < len(set(want)) < 90
+
+
 def test_spans(spark, odd):
     passage = "Some shared words stand here. Then more of them follow in a row, as they do. A third sentence ends what both of them hold, and that is all of it."
     docs = [(5, "An opening of its own. " + passage + " An end of its own."), (2, "Other words come first\n" + passage + "\nand others last."), (7, "Nothing is shared in this one. Not even a sentence."), (9, None), (8, "")]
