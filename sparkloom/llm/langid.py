@@ -166,15 +166,23 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language is found, with their columns as they were; nothing is shuffled."""
-    make = _judge(prototypes(docs.filter(~held_out()).select("text", "lang")))
+    """The rows of docs whose language is found, with their columns as they were; nothing is shuffled.
+
+    Those are the rows with a letter, whatever their language and score, also when nothing could be learned.
+    """
+    learned = prototypes(docs.filter(~held_out()).select("text", "lang"))
+    make = _judge(learned)
     at = docs.columns.index("text")
 
     def run(batches):
         judge = make()
         for batch in batches:
-            langs, _ = judge(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([x != UNDETERMINED for x in langs], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            if learned:
+                some = [x != UNDETERMINED for x in judge(texts)[0]]
+            else:
+                some = [any(c.isalpha() for c in t or "") for t in texts]
+            yield batch.filter(pa.array(some, pa.bool_()))
 
     return docs.mapInArrow(tidied(run), docs.schema)
 

@@ -270,6 +270,11 @@ def test_language(spark, odd):
     assert langid.identify(odd.limit(0)).count() == 0
 
 
+def test_letters_pass_when_nothing_is_learned(spark):
+    docs = spark.createDataFrame([(1, "a text", None), (2, "12 !", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.identified(docs).collect()) == [1, 4]
+
+
 def test_language_runs(monkeypatch):
     text = "ab, cd  efg\nÉÈ 12 x" * 30
     whole = np.concatenate(list(langid.Profiles().keys(text)))
