@@ -1,23 +1,24 @@
 """SimHash near-duplicates: BK-trees over shards of fingerprints.
 
 A fingerprint bit is 1 if it is set in over half of the hashes of a text's word shingles; two texts are linked if
-their fingerprints differ in at most `radius` bits. Equal fingerprints are one entry. Entries go to shards so that
-every pair within the radius meets in some shard; each shard's entries form a BK-tree, whose children are keyed by
-the integer Hamming distance to their parent, and a search follows only edges within the radius of the query's
-distance. The trees grow with the table, so a shard's tree lives where its queries are dealt instead of being
-broadcast whole. A shard over SHARD entries is cut into chunks, and each chunk's tree is asked by every chunk.
-Shards return a spanning forest of their links, least distances first, then by fingerprint, so that reruns agree;
-connected components are found on those.
+their fingerprints differ in at most `radius` bits. Equal fingerprints are one entry. Entries go to shards of about
+FILL so that every pair within the radius meets in some shard. A shard's entries form a BK-tree, whose children are
+keyed by the integer Hamming distance to their parent, and a search follows only edges within the radius of the
+query's distance. The trees hold all fingerprints, which must never meet on the driver, so a tree isn't broadcast
+through it: it lives in the task where its shard's queries are dealt. A shard over SHARD entries is cut into chunks,
+and each chunk's tree is asked by every chunk. Shards return a spanning forest of their links, by distance and
+fingerprint, so that reruns agree; connected components are found on those.
 Where an exact similarity is asked for, fingerprints are of distinct shingles, entries are sets of shingles, and
 every link is confirmed by its sets. That first pass may lose links; an exact one follows. With the shingles of all
-sets in one order (rare ones first), two sets of n and m shingles with a similarity of t or more share one of the
-first n - ceil(t n) + 1 and m - ceil(t m) + 1. Entries that share such a shingle and are not yet in one component are
-confirmed like the others, so every pair of that similarity ends in one component.
+sets in one order (rare ones first), a set of n shingles has a prefix of n - ceil(t n) + 1. Two sets of n and m with
+a similarity of t or more share at least ceil(t (n + m) / (1 + t)) shingles, and all of those but
+max(ceil(t n), ceil(t m)) - 1 lie in both prefixes. Entries that share so many shingles of their prefixes and are not
+yet in one component are confirmed like the others, so every pair of that similarity ends in one component.
 
-Shards: with 64 bits and a small radius the bits are cut into `radius + e` blocks and a shard is named by e of
-them, which agree for every pair within the radius (pigeonhole, exact); e grows with the table. Wide fingerprints
-with a wide radius are sharded by seeded samples of bit positions instead, as many that a pair at the radius
-meets with probability RECALL or more; the positions a sample has grow with the table.
+Shards: with 64 bits and a small radius the bits are cut into `radius + e` blocks and a shard is named by bits of e
+of them, which agree for every pair within the radius (pigeonhole, exact); e grows with the table. Wide fingerprints
+with a wide radius are sharded by seeded samples of bit positions instead, as many that a pair `sure` bits apart
+meets with probability RECALL or more; farther pairs meet less often, and the exact pass finds what is missed.
 
 Defined cases: null texts and texts without words have fingerprint 0 and are linked as any other; texts with
 fewer words than a shingle give one shingle of all their words; rows that share an id are rows of their own, in
@@ -33,10 +34,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, tidied, with_partitions
+from .common import cut, hits, row_key, tidied, with_partitions
 from .components import components
 
 SEED = 42
@@ -44,9 +45,12 @@ RUN = 1 << 15
 SHARD = 4096
 #: Links that are held before all but a spanning forest of them go.
 LINKS = 200_000
-RECALL = 0.95
-#: Mean entries of a shard.
-FILL = 32
+RECALL = 0.9
+#: Mean entries of a shard, at least; of shards named by samples of bits.
+FILL = 1024
+FILL_SAMPLED = 256
+#: Places of trees that are visited at once.
+VISITS = 1 << 20
 #: One of so many rows is read for frequent shingles, which come so often there; no more than COMMON are told apart.
 SAMPLE = 32
 OFTEN = 4
@@ -133,7 +137,7 @@ def prefix(found: np.ndarray, common: np.ndarray, places: np.ndarray, similarity
 
 
 def shingle_sets(docs: DataFrame, words: int, width: int, similarity: float) -> DataFrame:
-    """doc_id, row_key, fp of the distinct shingles, n of them, their prefix, s1 and s2: 128 bits that name the set."""
+    """doc_id, row_key, fp of the distinct shingles, n of them, their prefix, s1 and s2: 128 bits that name the set; row: a number."""
     often = np.array(frequent_shingles(docs, words), dtype=np.int64).view(np.uint64)
     order = np.argsort(often)
     common, places = often[order], len(often) - order
@@ -153,92 +157,108 @@ def shingle_sets(docs: DataFrame, words: int, width: int, similarity: float) ->
             s = np.frombuffer(b"".join(names), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(n, pa.int32()), prefixes, pa.array(s[:, 0]), pa.array(s[:, 1])], ["doc_id", "row_key", "fp", "n", "prefix", "s1", "s2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("binary").alias("text")).mapInArrow(tidied(run), "doc_id long, row_key long, fp array<long>, n int, prefix array<long>, s1 long, s2 long")
-
-
-class BKTree:
-    """Entries by integer Hamming distance to their parent."""
-
-    __slots__ = ("nodes",)
-
-    def __init__(self):
-        self.nodes: list[tuple[int, int, dict[int, int]]] = []
-
-    def add(self, value: int, name: int) -> None:
-        at, nodes = 0, self.nodes
-        nodes.append((value, name, {}))
-        if len(nodes) == 1:
-            return
-        while True:
-            parent, _, children = nodes[at]
-            d = (parent ^ value).bit_count()
-            if d not in children:
-                children[d] = len(nodes) - 1
-                return
-            at = children[d]
-
-    def within(self, value: int, radius: int) -> list[int]:
-        """Names of the entries within the radius."""
-        nodes = self.nodes
-        if not nodes:
-            return []
-        found, todo = [], [0]
-        while todo:
-            parent, name, children = nodes[todo.pop()]
-            d = (parent ^ value).bit_count()
-            if d <= radius:
-                found.append(name)
-            if children:
-                lo, hi = d - radius, d + radius
-                todo += [c for e, c in children.items() if lo <= e <= hi]
-        return found
-
-
-def _links(values: list[int], build: list[bool], probe: list[bool], radius: int) -> list[tuple[int, int, int]]:
-    """A spanning forest of the links between entries to build and to probe, least distances first: (place, place, distance)."""
-    tree, found = BKTree(), []
-    both = all(b and p for b, p in zip(build, probe))
-    if not both:
-        for i, v in enumerate(values):
-            if build[i]:
-                tree.add(v, i)
-    for i, v in enumerate(values):
-        if probe[i]:
-            found += [((values[j] ^ v).bit_count(), i, j) for j in tree.within(v, radius) if j != i]
-            if len(found) > LINKS:
-                found = _forest(found, len(values))
-        if both:
-            tree.add(v, i)
-    return [(i, j, d) for d, i, j in _forest(found, len(values))]
-
-
-def _forest(links: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int]]:
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("binary").alias("text"))
+    found = texts.mapInArrow(tidied(run), "doc_id long, row_key long, fp array<long>, n int, prefix array<long>, s1 long, s2 long")
+    return found.withColumn("row", F.monotonically_increasing_id())
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+class BKTrees:
+    """A BK-tree for each group of entries, in flat arrays that are built a level at a time.
+
+    values: rows of 64-bit words; roots: the first entry of each entry's group. An entry goes down from its root:
+    where no child stands at its distance it becomes that child, else it goes on from there.
+    """
+
+    def __init__(self, values: np.ndarray, roots: np.ndarray):
+        self.values, self.span = values, 64 * values.shape[1] + 1
+        keys, nodes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        todo = np.flatnonzero(roots != np.arange(len(roots)))
+        at = roots[todo]
+        while len(todo):
+            key = at * self.span + _apart(values[todo], values[at])
+            taken, first, of = np.unique(key, return_index=True, return_inverse=True)
+            child = todo[first]
+            keys.append(taken)
+            nodes.append(child)
+            more = np.ones(len(todo), dtype=bool)
+            more[first] = False
+            at, todo = child[of][more], todo[more]
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        order = np.argsort(key)
+        #: An edge is named by its parent and its distance.
+        self.key, self.node = key[order], node[order]
+
+    def within(self, queries: np.ndarray, roots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, entry, distance) of all entries of the trees at roots, one for each query, within the radius."""
+        found = []
+        asked, at = np.arange(len(queries)), roots
+        while len(asked):
+            d = _apart(queries[asked], self.values[at])
+            hit = d <= radius
+            found.append((asked[hit], at[hit], d[hit]))
+            base = at * self.span
+            lo = np.searchsorted(self.key, base + np.maximum(d - radius, 0))
+            n = np.searchsorted(self.key, base + np.minimum(d + radius, self.span - 1), side="right") - lo
+            asked = np.repeat(asked, n)
+            at = self.node[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 3
+
+
+def _links(values: np.ndarray, group: np.ndarray, build: np.ndarray, probe: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
+    """A spanning forest of the links between entries of a group to build and to probe, least distances first: (distance, place, place).
+
+    Rows are sorted by group. A forest of several blocks of queries is one of the forests of those before it and theirs.
+    """
+    built = np.flatnonzero(build)
+    if not len(built):
+        return []
+    owner = group[built]
+    starts = np.searchsorted(owner, owner)
+    trees = BKTrees(values[built], starts)
+    asked = np.flatnonzero(probe)
+    root = np.searchsorted(owner, group[asked])
+    there = np.minimum(root, len(owner) - 1)
+    asked, root = (x[owner[there] == group[asked]] for x in (asked, there))
+    largest = int(np.bincount(starts).max())
+    kept: list[tuple[int, int, int]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, VISITS // largest)
+    for at in range(0, len(asked), step):
+        q, e, d = trees.within(values[asked[at : at + step]], root[at : at + step], radius)
+        i, j = asked[at : at + step][q], built[e]
+        # where both search and stand in the tree, a link is found from either end
+        own = (i > j) | (i < j) & ~(build[i] & probe[j])
+        held.append((d[own], i[own], j[own]))
+        if sum(len(x[0]) for x in held) > LINKS:
+            kept, held = _forest(kept, held, len(values)), []
+    return _forest(kept, held, len(values))
+
+
+def _forest(kept: list[tuple[int, int, int]], more: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> list[tuple[int, int, int]]:
     """A minimum spanning forest of (distance, place, place)."""
-    up, kept = list(range(n)), []
+    up, out = list(range(n)), []
 
     def root(i: int) -> int:
         while up[i] != i:
             up[i] = i = up[up[i]]
         return i
 
+    links = [*kept, *(link for d, i, j in more for link in zip(d.tolist(), i.tolist(), j.tolist()))]
     for d, i, j in sorted(links):
         a, b = root(i), root(j)
         if a != b:
             up[a] = b
-            kept.append((d, i, j))
-    return kept
+            out.append((d, i, j))
+    return out
 
 
 def _scan(radius: int, width: int):
-    """Search the shards of a partition that is sorted by shard; a shard's rows are held, no more."""
-
-    def shard(part: np.ndarray, keys: list[np.ndarray]):
-        # by fingerprint, so that the forest doesn't hang on the order in which rows came
-        order = np.lexsort(keys)
-        part, keys = {c: x[order] for c, x in part.items()}, [k[order] for k in keys]
-        entry = part["entry"].tolist()
-        values = keys[0].tolist() if width == 1 else [sum(int(k) << (64 * w) for w, k in enumerate(row)) for row in zip(*keys)]
-        return [(entry[i], entry[j], d) for i, j, d in _links(values, part["build"].tolist(), part["probe"].tolist(), radius)]
+    """Search the shards of a partition that is sorted by shard; those of a batch, or one that goes on, are held."""
 
     def run(batches):
         rest = None
@@ -253,32 +273,41 @@ def _scan(radius: int, width: int):
             if batch is not None:  # the last shard may go on
                 rest, starts = table.slice(starts[-2]).combine_chunks(), starts[:-1]
             whole = table.slice(0, starts[-1]).combine_chunks()
-            part = {c: whole[c].to_numpy() for c in ("entry", "build", "probe")}
-            flat = whole["fp"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, width)
-            edges = []
-            for a, b in zip(starts, starts[1:]):
-                if b - a > 1:
-                    edges += shard({c: x[a:b] for c, x in part.items()}, [flat[a:b, w] for w in range(width)])
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(3)], ["u", "v", "d"])
+            if not whole.num_rows:
+                continue
+            entry, build, probe = (whole[c].to_numpy(zero_copy_only=False) for c in ("entry", "build", "probe"))
+            values = whole["fp"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, width)
+            group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            # by fingerprint, so that the forest doesn't hang on the order in which rows came
+            order = np.lexsort((*values.T, group))
+            links = np.array(_links(values[order], group, build[order], probe[order], radius), dtype=np.int64).reshape(-1, 3)
+            u, v = (entry[order[links[:, k]]] for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(links[:, 0], pa.int64())], ["u", "v", "d"])
 
     return run
 
 
 def block_masks(n: int, radius: int) -> list[list[int]]:
-    """Bit positions of each shard kind, so that any pair of 64 bits within the radius agrees on one kind."""
+    """Bit positions of each shard kind, so that any pair of 64 bits within the radius agrees on one kind.
+
+    No more bits than leave FILL entries in a shard, so that trees are large and shards few.
+    """
+    want = max(0, math.ceil(math.log2(max(n, 1) / FILL)))
+    if not want:
+        return [[]]  # one tree for all
     for e in range(1, 6):
         blocks = radius + e
         edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-        kinds = [sorted(itertools.chain(*(range(edges[b], edges[b + 1]) for b in chosen))) for chosen in itertools.combinations(range(blocks), e)]
-        if n / 2 ** min(map(len, kinds)) <= FILL:
+        of_block = [list(range(a, b)) for a, b in zip(edges, edges[1:])]
+        if e * min(map(len, of_block)) >= want:
             break
-    return kinds
+    return [sorted(itertools.chain(*(of_block[b][: -(-want // e)] for b in chosen))) for chosen in itertools.combinations(range(blocks), e)]
 
 
 def sampled_masks(n: int, radius: int, width: int) -> list[list[int]]:
     """Bit positions of each shard kind: seeded samples of which a pair at the radius shares one with probability RECALL."""
     bits = 64 * width
-    size = max(8, math.ceil(math.log2(max(n, 1) / FILL + 1)))
+    size = max(4, math.ceil(math.log2(max(n, 1) / FILL_SAMPLED + 1)))
     agree = math.prod((bits - radius - i) / (bits - i) for i in range(size))
     kinds = math.ceil(math.log(1 - RECALL) / math.log(1 - agree))
     rng = np.random.default_rng(SEED)
@@ -293,7 +322,7 @@ def linked(entries: DataFrame, n: int, radius: int, width: int, exact: bool, sha
         words: dict[int, int] = {}
         for bit in mask:
             words[bit // 64] = words.get(bit // 64, 0) | 1 << bit % 64
-        parts = [F.element_at("fp", w + 1).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for w, m in sorted(words.items())]
+        parts = [F.element_at("fp", w + 1).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for w, m in sorted(words.items())] or [F.lit(0).cast("long")]
         return parts[0] if len(parts) == 1 else F.xxhash64(*parts)
 
     keys = F.posexplode(F.array(*map(key, masks))).alias("kind", "key")
@@ -318,21 +347,23 @@ def linked(entries: DataFrame, n: int, radius: int, width: int, exact: bool, sha
 def similar(edges: DataFrame, entries: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The edges (u, v) whose texts' sets of shingles have at least that Jaccard similarity.
 
-    entries: entry, first, key: the row that an entry stands for.
+    entries: entry, first, key: the row that an entry stands for. Only texts of the edges' ends are shuffled.
     """
 
     def read(batches):
         for batch in batches:
             found = [shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32), pa.array(np.concatenate(found)))
+            flat = np.concatenate([np.zeros(0, dtype=np.int64), *found])
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["entry", "s"])
 
     ends = edges.select(F.col("u").alias("entry")).union(edges.select(F.col("v").alias("entry"))).distinct()
-    wanted = ends.join(entries, "entry").select("entry", "first", "key")
-    # rows that share id and text are one
+    wanted = cut(ends.join(entries, "entry").select("entry", "first", "key"))
     rows = docs.select(_id("doc_id").alias("first"), row_key().alias("key"), F.col("text").cast("binary").alias("text"))
-    sets = rows.join(wanted, ["first", "key"]).select("entry", "text").mapInArrow(tidied(read), "entry long, s array<long>")
-    sets = cut(sets.groupBy("entry").agg(F.first("s").alias("s")))
+    rows = hits(rows, wanted, ["first", "key"], wanted.count()).filter("hit").join(wanted, ["first", "key"])
+    # rows that share id and text are one
+    rows = rows.groupBy("first", "key", "entry").agg(F.first("text").alias("text"))
+    sets = cut(rows.select("entry", "text").mapInArrow(tidied(read), "entry long, s array<long>"))
     both = edges.join(sets.select(F.col("entry").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("entry").alias("v"), F.col("s").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
@@ -346,13 +377,13 @@ def _meetings(similarity: float):
         entry, root, n = entry[order], root[order], n[order]
         ends = np.searchsorted(n, n / similarity + 1e-9, side="right")
         for i, end in enumerate(ends.tolist()):
-            other = entry[i + 1 : end][root[i + 1 : end] != root[i]]
-            if len(other):
-                yield np.stack([np.minimum(other, entry[i]), np.maximum(other, entry[i])])
+            to = np.flatnonzero(root[i + 1 : end] != root[i]) + i + 1
+            if len(to):
+                yield np.stack([np.full(len(to), entry[i]), entry[to], np.full(len(to), n[i]), n[to]])
 
     def out(found):
-        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["u", "v"])
+        rows, times = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True) if found else (np.zeros((4, 0), dtype=np.int64), [])
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows), pa.array(times, pa.int64())], ["u", "v", "n", "m", "times"])
 
     def run(batches):
         rest, found, held = None, [], 0
@@ -385,11 +416,14 @@ def _meetings(similarity: float):
 
 
 def met(entries: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
-    """u, v: entries (entry, n, prefix) whose prefixes share a shingle and that have not the same root in names (node, root)."""
+    """u, v: entries (entry, n, prefix) that no component of names (node, root) joins, whose prefixes share as many shingles as the similarity asks for."""
     of = entries.join(names, F.col("entry") == F.col("node"), "left").withColumn("root", F.coalesce("root", "entry"))
     tokens = of.select(F.explode("prefix").alias("token"), "entry", "root", F.col("n").cast("long").alias("n"))
     placed = with_partitions(tokens, "token").sortWithinPartitions("token")
-    return placed.mapInArrow(tidied(_meetings(similarity)), "u long, v long").distinct()
+    found = placed.mapInArrow(tidied(_meetings(similarity)), "u long, v long, n long, m long, times long").groupBy("u", "v", "n", "m").agg(F.sum("times").alias("times"))
+    least = F.ceil((F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-9)
+    outside = F.greatest(*(F.ceil(F.col(c) * similarity - 1e-9) for c in ("n", "m"))) - 1
+    return found.filter(F.col("times") >= least - outside).select("u", "v")
 
 
 NO_ID = -(1 << 63) + 1
@@ -408,35 +442,46 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, width: int
     shingles are one entry, and links count only if the sets have that Jaccard similarity. Pairs that the shards
     miss, or that a forest left out for links which then failed, meet by a shingle of their prefixes: none is lost.
     """
-    by = ["fp"] if sure is None else ["s1", "s2"]
-    rows = cut(fingerprints(docs, words, width) if sure is None else shingle_sets(docs, words, width, similarity))
-    about = [] if sure is None else [F.first(c).alias(c) for c in rows.columns if c not in ("doc_id", "row_key", *by)]
-    entries = rows.groupBy(*by).agg(F.min("doc_id").alias("first"), F.min(F.struct(_id("doc_id").alias("first"), F.col("row_key").alias("key"))).alias("of"), *about)
-    entries = cut(entries.withColumn("entry", F.monotonically_increasing_id()))
-    edges = linked(entries.select("entry", "fp"), entries.count(), radius, width, width == 1, shards_for=sure)
+    key = F.min(F.struct(_id("doc_id").alias("first"), F.col("row_key").alias("key"))).alias("of")
+    if sure is None:
+        by, rows = ["fp"], cut(fingerprints(docs, words, width))
+        entries = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("entry", F.monotonically_increasing_id()))
+    else:
+        by, rows = ["s1", "s2"], cut(shingle_sets(docs, words, width, similarity))
+        entries = cut(rows.groupBy(*by).agg(F.min("row").alias("entry"), F.min("doc_id").alias("first"), key, F.first("fp").alias("fp")))
+    edges = linked(entries.select("entry", "fp"), entries.count(), radius, width, width == 1, shards_for=sure).select("u", "v")
     if sure is not None:
+        of = entries.select("entry", "of.*")
         edges = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        edges = cut(similar(edges, entries.select("entry", "of.*"), docs, words, similarity))
-        more = cut(met(entries, components(edges), similarity))
-        edges = edges.union(similar(more, entries.select("entry", "of.*"), docs, words, similarity))
-    names = components(edges.select("u", "v"))
+        edges = cut(similar(edges, of, docs, words, similarity))
+        firsts = rows.select(F.col("row").alias("entry"), "n", "prefix").join(entries.select("entry"), "entry", "left_semi")
+        more = cut(met(firsts, components(edges), similarity))
+        edges = edges.union(similar(more, of, docs, words, similarity))
+    names = components(edges)
     of = entries.join(names, F.col("entry") == F.col("node"), "left").withColumn("root", F.coalesce("root", "entry"))
     of = cut(of.select(*by, "first", "root"))
     lowest = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = rows.join(of.join(lowest, "root").select(*by, "component_id", F.col("root").alias("component")), by)
+    found = rows.select("doc_id", "row_key", *dict.fromkeys(["fp", *by])).join(of.join(lowest, "root").select(*by, "component_id", F.col("root").alias("component")), by)
     return found.select("doc_id", "row_key", "fp", "component_id", "component")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, radius: int = 52, width: int = 4, sure: int = 40, similarity: float = 0.8) -> DataFrame:
-    """One row of docs for each component, that of the smallest id, with its columns as they were."""
-    found = cut(near_duplicates(docs, words, radius, width, sure, similarity))
-    no_id = F.lit(-(1 << 63) + 1)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", no_id).alias("id"), "row_key")).alias("k"))
+    """One row of docs for each component, that of the smallest id, with its columns as they were.
+
+    Only rows that go, and rows that are repeated whole, are shuffled.
+    """
+    found = cut(near_duplicates(docs, words, radius, width, sure, similarity).select(_id("doc_id").alias("id"), F.col("row_key").alias("key"), "component"))
+    # rows that share id and text are in one component; ids come before none
+    place = F.struct((F.col("id") == NO_ID).alias("none"), "id", "key")
+    each = found.groupBy("component", "id", "key").agg(F.count("*").alias("n"))
+    first = each.groupBy("component").agg(F.min(place).alias("least"))
+    some = cut(each.join(first, "component").select("id", "key", "n", (place == F.col("least")).alias("stays")).filter("n > 1 or not stays"))
     # a row's columns travel as one, apart from its key
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("id"), row_key().alias("key"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
-    kept = keyed.join(first.select("k.id", F.col("k.row_key").alias("key")), ["id", "key"], "left_semi")
-    if not found.groupBy("doc_id", "row_key").count().filter("count > 1").isEmpty():  # rows that are repeated
-        kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("id", "key").orderBy("id"))).filter("n = 1")
+    keyed = docs.select(_id("doc_id").alias("id"), row_key().alias("key"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
+    keyed = hits(keyed, some, ["id", "key"], some.count())
+    same = keyed.filter("hit").join(some, ["id", "key"], "left")
+    once = same.filter("stays").dropDuplicates(["id", "key"])
+    kept = keyed.filter("not hit").select("row").unionByName(same.filter("stays is null").select("row")).unionByName(once.select("row"))
     return kept.select(*[F.col(f"row.`{n}`") for n in docs.columns])
 
 

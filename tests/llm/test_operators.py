@@ -90,12 +90,17 @@ def test_shards_and_trees(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(1 << 63, size=40, dtype=np.uint64).tolist()
     values = sorted({b ^ sum(1 << int(x) for x in rng.choice(64, int(rng.integers(5)), replace=False)) for b in base for _ in range(12)})
-    tree = simhash.BKTree()
-    for i, v in enumerate(values):
-        tree.add(v, i)
-    for v in values[::7]:
-        for radius in (0, 3, 20):
-            assert sorted(tree.within(v, radius)) == [i for i, x in enumerate(values) if (x ^ v).bit_count() <= radius]
+    words = np.array(values, dtype=np.uint64).reshape(-1, 1)
+    half = len(values) // 2  # two groups, a tree each
+    trees = simhash.BKTrees(words, np.repeat([0, half], [half, len(values) - half]))
+    for radius in (0, 3, 20):
+        for root, group in ((0, range(half)), (half, range(half, len(values)))):
+            q, e, d = trees.within(words[::7], np.full(len(words[::7]), root), radius)
+            want = {(n, i, (values[i] ^ v).bit_count()) for n, v in enumerate(values[::7]) for i in group if (values[i] ^ v).bit_count() <= radius}
+            assert set(zip(q.tolist(), e.tolist(), d.tolist())) == want and len(q) == len(want)
+    # an edge's key is the distance of the child to its parent
+    assert all((values[k // 65] ^ values[n]).bit_count() == k % 65 for k, n in zip(trees.key.tolist(), trees.node.tolist()))
+    assert len(set(trees.key.tolist())) == len(trees.key) == len(values) - 2
     for n in (10, 10**6, 10**9):  # any three bits leave one kind of shard alone
         masks = [set(m) for m in simhash.block_masks(n, 3)]
         for _ in range(300):
