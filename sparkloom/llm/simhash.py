@@ -9,11 +9,12 @@ through it: it lives in the task where its shard's queries are dealt. A shard ov
 and each chunk's tree is asked by every chunk. Shards return a spanning forest of their links, by distance and
 fingerprint, so that reruns agree; connected components are found on those.
 Where an exact similarity is asked for, fingerprints are of distinct shingles, entries are sets of shingles, and
-every link is confirmed by its sets. That first pass may lose links; an exact one follows. With the shingles of all
-sets in one order (rare ones first), a set of n shingles has a prefix of n - ceil(t n) + 1. Two sets of n and m with
-a similarity of t or more share at least ceil(t (n + m) / (1 + t)) shingles, and all of those but
-max(ceil(t n), ceil(t m)) - 1 lie in both prefixes. Entries that share so many shingles of their prefixes and are not
-yet in one component are confirmed like the others, so every pair of that similarity ends in one component.
+every link is confirmed by its sets. That first pass may lose links; an exact one follows. Two sets of n and m
+shingles with a similarity of t or more share at least a = ceil(t (n + m) / (1 + t)). With the shingles of all sets in
+one order (rare ones first), j of those, and j may be any number up to a, are among the first n - a + j of the one and
+the first m - a + j of the other. Entries that share MEET shingles there (a, if that is less) and are not yet in one
+component are confirmed like the others, so every pair of that similarity ends in one component. Each entry's most
+promising pairs are confirmed first, as most others then lie within a component and need no reading.
 
 Shards: with 64 bits and a small radius the bits are cut into `radius + e` blocks and a shard is named by bits of e
 of them, which agree for every pair within the radius (pigeonhole, exact); e grows with the table. Wide fingerprints
@@ -49,6 +50,10 @@ RECALL = 0.9
 #: Mean entries of a shard, at least; of shards named by samples of bits.
 FILL = 1024
 FILL_SAMPLED = 256
+#: Shingles that two sets have to share at the front.
+MEET = 3
+#: Rounds that confirm only the most promising pair of each entry, before all that are left are.
+PICKS = 2
 #: Places of trees that are visited at once.
 VISITS = 1 << 20
 #: One of so many rows is read for frequent shingles, which come so often there; no more than COMMON are told apart.
@@ -126,8 +131,8 @@ def frequent_shingles(docs: DataFrame, words: int) -> list[int]:
 
 
 def prefix(found: np.ndarray, common: np.ndarray, places: np.ndarray, similarity: float) -> np.ndarray:
-    """The least shingles of a set, rare ones first: of sets that are so similar the least share one at least."""
-    size = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
+    """The least shingles of a set, rare ones first: of sets that are so similar the least share MEET, or all that they share."""
+    size = len(found) - math.ceil(similarity * len(found) - 1e-9) + MEET
     at = np.searchsorted(common, found)
     known = np.zeros(len(found), dtype=np.int64)
     if len(common):
@@ -372,23 +377,26 @@ def similar(edges: DataFrame, entries: DataFrame, docs: DataFrame, words: int, s
 def _meetings(similarity: float):
     """Of rows sorted by token, the pairs of a token's entries that no links join and whose sizes allow the similarity."""
 
-    def pairs(entry, root, n):
+    def pairs(entry, root, n, at):
         order = np.lexsort((entry, n))
-        entry, root, n = entry[order], root[order], n[order]
+        entry, root, n, at = entry[order], root[order], n[order], at[order]
         ends = np.searchsorted(n, n / similarity + 1e-9, side="right")
         for i, end in enumerate(ends.tolist()):
-            to = np.flatnonzero(root[i + 1 : end] != root[i]) + i + 1
+            share = np.ceil((n[i] + n[i + 1 : end]) * (similarity / (1 + similarity)) - 1e-9).astype(np.int64)
+            spare = np.minimum(MEET, share) - share
+            to = np.flatnonzero((root[i + 1 : end] != root[i]) & (at[i] < n[i] + spare) & (at[i + 1 : end] < n[i + 1 : end] + spare))
             if len(to):
-                yield np.stack([np.full(len(to), entry[i]), entry[to], np.full(len(to), n[i]), n[to]])
+                share, to = share[to], to + i + 1
+                yield np.stack([np.full(len(to), entry[i]), entry[to], np.minimum(MEET, share)])
 
     def out(found):
-        rows, times = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True) if found else (np.zeros((4, 0), dtype=np.int64), [])
-        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows), pa.array(times, pa.int64())], ["u", "v", "n", "m", "times"])
+        rows, times = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True) if found else (np.zeros((3, 0), dtype=np.int64), [])
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows), pa.array(times, pa.int64())], ["u", "v", "least", "times"])
 
     def run(batches):
         rest, found, held = None, [], 0
         for batch in itertools.chain(batches, [None]):
-            cols = [batch.column(i).to_numpy() for i in range(4)] if batch is not None else [np.zeros(0, dtype=np.int64)] * 4
+            cols = [batch.column(i).to_numpy() for i in range(5)] if batch is not None else [np.zeros(0, dtype=np.int64)] * 5
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
             token = cols[0]
@@ -416,14 +424,25 @@ def _meetings(similarity: float):
 
 
 def met(entries: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
-    """u, v: entries (entry, n, prefix) that no component of names (node, root) joins, whose prefixes share as many shingles as the similarity asks for."""
+    """u, v, times: entries (entry, n, prefix) that no component of names (node, root) joins and that share enough shingles at the front."""
     of = entries.join(names, F.col("entry") == F.col("node"), "left").withColumn("root", F.coalesce("root", "entry"))
-    tokens = of.select(F.explode("prefix").alias("token"), "entry", "root", F.col("n").cast("long").alias("n"))
+    tokens = of.select(F.posexplode("prefix").alias("at", "token"), "entry", "root", "n").select("token", "entry", "root", F.col("n").cast("long"), F.col("at").cast("long"))
     placed = with_partitions(tokens, "token").sortWithinPartitions("token")
-    found = placed.mapInArrow(tidied(_meetings(similarity)), "u long, v long, n long, m long, times long").groupBy("u", "v", "n", "m").agg(F.sum("times").alias("times"))
-    least = F.ceil((F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-9)
-    outside = F.greatest(*(F.ceil(F.col(c) * similarity - 1e-9) for c in ("n", "m"))) - 1
-    return found.filter(F.col("times") >= least - outside).select("u", "v")
+    found = placed.mapInArrow(tidied(_meetings(similarity)), "u long, v long, least long, times long")
+    return found.groupBy("u", "v", "least").agg(F.sum("times").alias("times")).filter("times >= least").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "times")
+
+
+def promising(pairs: DataFrame) -> DataFrame:
+    """u, v: of pairs (u, v, times), those that share most, one for each entry."""
+    best = lambda a, b: pairs.groupBy(a).agg(F.max(F.struct("times", b)).alias("best")).select(a, F.col(f"best.{b}")).select("u", "v")
+    return best("u", "v").union(best("v", "u")).distinct()
+
+
+def apart(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs (u, v, ...) that no component of names (node, root) joins."""
+    roots = lambda c: names.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}"))
+    both = pairs.join(roots("u"), "u", "left").join(roots("v"), "v", "left")
+    return both.filter("coalesce(of_u, u) <> coalesce(of_v, v)").select(*pairs.columns)
 
 
 NO_ID = -(1 << 63) + 1
@@ -455,9 +474,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, width: int
         edges = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         edges = cut(similar(edges, of, docs, words, similarity))
         firsts = rows.select(F.col("row").alias("entry"), "n", "prefix").join(entries.select("entry"), "entry", "left_semi")
-        more = cut(met(firsts, components(edges), similarity))
-        edges = edges.union(similar(more, of, docs, words, similarity))
-    names = components(edges)
+        names = components(edges)
+        more = cut(met(firsts, names, similarity))
+        for turn in range(PICKS + 1):
+            if more.isEmpty():
+                break
+            tried = cut(promising(more)) if turn < PICKS else more.select("u", "v")
+            edges = cut(edges.union(similar(tried, of, docs, words, similarity)))
+            names = components(edges)
+            more = cut(apart(more.join(tried, ["u", "v"], "left_anti"), names)) if turn < PICKS else more
+    else:
+        names = components(edges)
     of = entries.join(names, F.col("entry") == F.col("node"), "left").withColumn("root", F.coalesce("root", "entry"))
     of = cut(of.select(*by, "first", "root"))
     lowest = of.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -48,11 +48,12 @@ def test_sql(spark, name):
     assert plain(got) == plain(want)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [1 << 18, 0])
+def test_components(spark, small):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (5, 5), (20, 21), (21, 22), (22, 23), (23, 24), (3, 1)]
-    got = {tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long"), small=small).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 7), (20, 20), (21, 20), (22, 20), (23, 20), (24, 20)}
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert components(spark.createDataFrame([], "u long, v long"), small=small).count() == 0
 
 
 def brute_fingerprint(text, words=3):
