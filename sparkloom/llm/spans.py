@@ -1,20 +1,18 @@
 """Substring dedup by sliding sentence spans.
 
-A text is read as sentences: pieces that end at `.`, `!` or `?` before white space, at a line break, or, within
-long sentences, after the word whose hash is the least of some CUT words in a row (the last of equal ones), so that
-a shared passage is cut alike whatever stands before or after it and no piece has more than CUT words. A span is a
-run of consecutive sentences, SPAN of them and as many more as it takes to hold WORDS words; the span that starts at
-each sentence is hashed (96 bits). Spans of all documents are dealt by hash and sorted by id and place; every span
-but the first of its hash is repeated, and the sentences it covers are removed. White space between words doesn't
+A text is read as sentences: pieces that end at `.`, `!` or `?` before white space, or at a line break. Only a
+sentence of more than LONG words is cut further, after each word whose hash is the least of some CUT words of it in a
+row (the last of equal ones), so that a shared passage without marks is cut alike whatever stands before or after it.
+A span is a run of consecutive sentences, SPAN of them and as many more as it takes to hold WORDS words; the span that
+starts at each sentence is hashed (96 bits). Spans of all documents are dealt by hash and sorted by id and place; every
+span but the first of its hash is repeated, and the sentences it covers are removed. White space between words doesn't
 count for equality, but for line breaks, which end sentences.
 
-Of any 50 words in a row the first cut that doesn't hang on the rest is among the first CUT, the next SPAN follow
-within CUT words each, and WORDS more words hold a cut before the last CUT: each passage of 50 words has a span.
-
-Only hashes are dealt for that, and a task that meets a very frequent span streams over its rows. Defined cases: a
-null text is empty and stays; rows that share an id are rows of their own, and of rows that share both id and
-text one, whichever, counts as the first; a text with fewer than WORDS words or SPAN sentences loses nothing, be it a
-copy or not (one of over 2 * CUT words has SPAN sentences); an empty table gives an empty table.
+Only hashes are dealt for that, and a task that meets a very frequent span streams over its rows; of texts only those
+that lose something are shuffled. Defined cases: a null text is empty and stays; rows that share an id are rows of
+their own, and of rows that share both id and text one, whichever, counts as the first, and is read once for all; a
+text with fewer than WORDS words or SPAN sentences loses nothing, be it a copy or not; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -23,21 +21,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidied, with_partitions
+from .common import cut, hits, tidied, with_partitions
 
 SPAN = 3
 WORDS = 20
 CUT = 12
+#: Words of the longest sentence that is never cut.
+LONG = 16
 #: Words whose rank a worker remembers.
 CACHE = 300_000
 NO_ID = -(1 << 63) + 1
 PLACED = "doc_id long, row_key long, at int, n int, h long, g int, known boolean"
 #: Spans whose least place a task remembers.
 SEEN = 100_000
-RESULT = "doc_id long, n_removed int, removed_bytes long, text string"
+RESULT = "doc_id long, n_removed int, removed_bytes long, text string, times long"
 _space = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
@@ -67,13 +67,16 @@ def sentences(text: bytes, cache: dict[bytes, int]) -> list[tuple[int, int, list
     rank[:-1][np.searchsorted(lines, starts[1:]) > np.searchsorted(lines, ends[:-1])] = 0
     last = rank == 0
     last[-1] = True
-    if len(words) >= CUT:
+    ends_at = np.flatnonzero(last)
+    long = np.diff(ends_at, prepend=-1) > LONG
+    if long.any():
         # the least of each CUT words, with the place in the lower bits, backwards
         least, size = rank << np.uint64(32) | np.arange((1 << 32) - 1, (1 << 32) - 1 - len(words), -1, dtype=np.uint64), 1
         while size < CUT:
             step = min(size, CUT - size)
             least, size = np.minimum(least[:-step], least[step:]), size + step
-        last[(1 << 32) - 1 - (least & np.uint64((1 << 32) - 1)).astype(np.int64)] = True
+        found = (1 << 32) - 1 - (least & np.uint64((1 << 32) - 1)).astype(np.int64)
+        last[found[long[np.searchsorted(ends_at, found)]]] = True
     to = np.flatnonzero(last) + 1
     at = np.concatenate([[0], to[:-1]])
     return [(s, e, words[a:b]) for s, e, a, b in zip(starts[at].tolist(), ends[to - 1].tolist(), at.tolist(), to.tolist())]
@@ -140,25 +143,30 @@ def _repeated(batches):
 
 
 def _rest(span: int, least: int):
+    """What is left of a row, and of its copies, which are repeated in whole."""
+
     def run(batches):
         cache: dict[bytes, int] = {}
         for batch in batches:
             rows, held = [], 0
-            for doc_id, text, again, found in zip(*(c.to_pylist() for c in batch.columns)):
-                parts = sentences(text, cache) if found or again else []
+            for doc_id, text, copies, found in zip(*(c.to_pylist() for c in batch.columns)):
+                parts = sentences(text, cache) if found or copies > 1 else []
                 gone = np.zeros(len(parts), dtype=bool)
                 for f in found or []:
                     gone[f["at"] : f["at"] + f["n"]] = True
-                if again:  # all spans of a row's later copies are repeated
-                    for i, last in enumerate(span_ends([len(p[2]) for p in parts], span, least)):
-                        gone[i:last] = True
-                kept, at = [], 0
-                for i in np.flatnonzero(gone):
-                    kept.append(text[at : parts[i][0]])
-                    at = parts[i][1]
-                rest = b"".join([*kept, text[at:]])
-                rows.append((doc_id, int(gone.sum()), len(text) - len(rest), rest.decode("utf-8", "replace")))
-                held += len(rest)
+                all_gone = gone.copy()
+                for i, last in enumerate(span_ends([len(p[2]) for p in parts], span, least) if copies > 1 else ()):
+                    all_gone[i:last] = True
+                for which, times in ((gone, 1), (all_gone, copies - 1)):
+                    if not times:
+                        continue
+                    kept, at = [], 0
+                    for i in np.flatnonzero(which):
+                        kept.append(text[at : parts[i][0]])
+                        at = parts[i][1]
+                    rest = b"".join([*kept, text[at:]])
+                    rows.append((doc_id, int(which.sum()), len(text) - len(rest), rest.decode("utf-8", "replace"), times))
+                    held += len(rest)
                 if held > 8 << 20:
                     yield _results(rows)
                     rows, held = [], 0
@@ -169,20 +177,23 @@ def _rest(span: int, least: int):
 
 
 def _results(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "n_removed", "removed_bytes", "text"])
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "n_removed", "removed_bytes", "text", "times"])
 
 
 def remove_repeated_spans(docs: DataFrame, span: int = SPAN, words: int = WORDS) -> DataFrame:
     """doc_id, n_removed (sentences), removed_bytes, text (what is left): one row for each row of docs (doc_id, text)."""
+    key = ["doc_id", "row_key"]
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     spans = base.mapInArrow(tidied(_hashed(span, words)), PLACED)
     spans = with_partitions(spans, "h").sortWithinPartitions("h", "g", "doc_id", "row_key", "at")
-    again = spans.mapInArrow(tidied(_repeated), PLACED).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("at", "n")).alias("found")).alias("r")
-    # the window's order is the join's, too
-    copy = F.row_number().over(Window.partitionBy("doc_id", "row_key").orderBy("doc_id"))
-    l = with_partitions(base, "doc_id", "row_key").withColumn("again", copy > 1).alias("l")
-    on = (F.col("l.doc_id") == F.col("r.doc_id")) & (F.col("l.row_key") == F.col("r.row_key"))
-    rest = l.join(again, on, "left").select("l.doc_id", "l.text", "l.again", "r.found").mapInArrow(tidied(_rest(span, words)), RESULT)
-    return rest.withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID})"))
+    found = spans.mapInArrow(tidied(_repeated), PLACED).groupBy(*key).agg(F.collect_set(F.struct("at", "n")).alias("found"))
+    twice = base.groupBy(*key).agg(F.count("*").alias("copies")).filter("copies > 1")
+    wanted = cut(found.join(twice, key, "full").select(*key, "found"))
+    rows = hits(base, wanted, key, wanted.count())
+    some = rows.filter("hit").groupBy(*key).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    rest = some.join(wanted, key, "left").select("doc_id", "text", "copies", "found").mapInArrow(tidied(_rest(span, words)), RESULT)
+    rest = rest.withColumn("turn", F.explode(F.sequence(F.lit(1), "times"))).drop("turn", "times")
+    whole = rows.filter("not hit").select("doc_id", F.lit(0).alias("n_removed"), F.lit(0).cast("long").alias("removed_bytes"), F.col("text").cast("string").alias("text"))
+    return whole.unionByName(rest).withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID})"))

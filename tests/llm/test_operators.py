@@ -335,6 +335,26 @@ def test_grouping_crossover():
         assert child.free == [1000 - sum(sizes[i] for i in items) for items in child.bins] and min(child.free) >= 0
 
 
+def test_islands_evolve(monkeypatch):
+    crossed = []
+    cross = packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: crossed.append(1) or cross(*a))
+    rng = np.random.default_rng(3)
+    triplets = [x for _ in range(40) for a, b in [(int(rng.integers(380, 490)), int(rng.integers(200, 250)))] for x in (a, b, 1000 - a - b)]
+    plain = packing.Genome([], [])
+    plain.best_fit(sorted(range(120), key=lambda i: -triplets[i]), triplets, 1000)
+    monkeypatch.setattr(packing, "GENERATIONS", 400)
+    monkeypatch.setattr(packing, "STALE", 400)
+    best = packing.evolve(triplets, [0, 0, 0], [], 1000)
+    assert len(best.bins) < len(plain.bins) and len(crossed) == 400
+    assert sorted(i for items in best.bins for i in items) == list(range(120))
+    monkeypatch.undo()
+    monkeypatch.setattr(packing, "crossover", lambda *a: crossed.append(1) or cross(*a))
+    for sizes in ([5], [1000] * 3, [10] * 50, triplets):  # also where best fit has the least number of bins
+        crossed.clear()
+        assert len(packing.evolve(sizes, [0, 0, 0], [], 1000).bins) >= -(-sum(sizes) // 1000) and len(crossed) >= packing.STALE
+
+
 def test_mixing(odd):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count()
@@ -439,6 +459,22 @@ def test_spans_by_brute_force(spark):
     assert {r.doc_id: r.n_removed for r in got} == {d: len(gone[d]) for d, _ in rows}
 
 
+def test_sentences_end_at_marks_and_lines():
+    """Against a splitter of its own: ordinary sentences are never cut, longer ones are."""
+    for r in duckdb.sql(f"select text from '{SF}/documents.parquet' where text is not null").fetchall():
+        want = [p.split() for line in re.split("[\n\r]", r[0]) for p in re.split(r"(?<=[.!?])(?=[ \t\v\f])|(?<=[.!?][\"')\]])(?=[ \t\v\f])", line) if p.split()]
+        got = [[w.decode() for w in p[2]] for p in spans.sentences(r[0].encode(), {})]
+        merged, at = [], 0
+        for p in want:
+            n = 0
+            while n < len(p):
+                merged.append(got[at])
+                n, at = n + len(got[at]), at + 1
+            assert n == len(p) and (len(p) > spans.LONG or len(merged[-1]) == n)
+            assert len(p) <= spans.LONG or all(len(m) <= spans.CUT for m in merged[-1:])
+        assert merged == got
+
+
 def test_spans_of_planted_passages(spark):
     texts = sorted(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if r.text and len(r.text.split()) > 200)
     rng, rows, n = np.random.default_rng(4), [], iter(range(10**6))
