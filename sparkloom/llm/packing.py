@@ -7,8 +7,9 @@ dissolves poorly filled bins and best-fits their documents. Fitness is the mean
 Documents are dealt by hash to shards of about SHARD pieces. Each shard evolves on ISLANDS islands with seeds of
 their own; after an epoch every island gets the elites of all of them, and evolves again; the best genome wins.
 Bins that are filled to KEEP stay; the others' documents go into the next round's shards, so that each shard's
-last poor bins are packed again with those of other shards, until one shard is left or nothing improves. An
-island stops when it reaches the least possible number of bins.
+last poor bins are packed again with those of other shards, until one shard is left or nothing improves. Every
+island seeds a whole population and evolves it, also where a seed has the least possible number of bins; an epoch ends
+after GENERATIONS, or STALE of them without a better genome.
 
 Only documents longer than a sequence are cut; full pieces are sequences of their own. Defined cases: a null or
 empty text is its end token alone; rows that share an id are packed each on its own; an empty table gives an
@@ -36,6 +37,8 @@ SHARD = 2000
 ISLANDS = 3
 POPULATION = 4
 GENERATIONS = 12
+#: Generations without a better genome after which an epoch ends.
+STALE = 3
 KEEP = 0.985
 ROUNDS = 4
 #: Words whose ids a task remembers.
@@ -238,21 +241,23 @@ def mutate(g: Genome, sizes: list[int], capacity: int, rng) -> Genome:
 def evolve(sizes: list[int], seed: list[int], elites: list[list[list[int]]], capacity: int = CAPACITY) -> Genome:
     """One island's epoch, started from the elites that migrated to it."""
     rng = np.random.default_rng(seed)
-    least = -(-sum(sizes) // capacity)
     people = [Genome(bins, [capacity - sum(sizes[i] for i in items) for items in bins]) for bins in elites]
     order = np.array(sizes, dtype=float)
-    while len(people) < POPULATION and not any(len(p.bins) <= least for p in people):
+    while len(people) < POPULATION:
         g = Genome([], [])
         noise = rng.random(len(sizes)) * (0.0 if not people else 0.3)
         g.best_fit(np.argsort(-order * (1 - noise), kind="stable").tolist(), sizes, capacity)
         people.append(g)
     key = lambda g: g.score(capacity)
     people.sort(key=key)
+    stale = 0
     for _ in range(GENERATIONS):
-        if len(people[0].bins) <= least or len(people) < 2:
-            break
         a, b = (people[int(i)] for i in rng.choice(len(people), 2, replace=False))
-        people = sorted([*people, mutate(crossover(a, b, sizes, capacity, rng), sizes, capacity, rng)], key=key)[:POPULATION]
+        child = mutate(crossover(a, b, sizes, capacity, rng), sizes, capacity, rng)
+        stale = 0 if key(child) < key(people[0]) else stale + 1
+        people = sorted([*people, child], key=key)[:POPULATION]
+        if stale == STALE:
+            break
     return people[0]
 
 
