@@ -26,8 +26,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=400)
-    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    # passages of over 50 words are shorter than 400 bytes mostly: passage_bytes tells of strings of 200
+    rows = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=400, passage=200)
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "passage_bytes")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

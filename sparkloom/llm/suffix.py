@@ -12,7 +12,7 @@ anchor. Consecutive windows that share an anchor are a run, and the bytes they s
    Anchors with more than HOT different contexts would fill a task; their windows are counted by hash instead.
 3. Each document's repeated windows are merged to spans, and the spans are cut out.
 
-The text is dealt once, by row, for both 2 and 3. Defined cases: a null text is empty; rows that share an id are
+Of texts only those are shuffled whose contexts have to be compared (2) or that lose something (3). Defined cases: a null text is empty; rows that share an id are
 rows of their own, and a repeated row is a repetition; a text shorter than LENGTH loses nothing; long texts are
 read in runs of CHUNK windows; an empty table gives an empty table.
 """
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidied, with_partitions
+from .common import cut, hits, tidied, with_partitions
 
 LENGTH = 400
 GRAM = 128
@@ -290,15 +290,15 @@ def spans_to_cut(windows: list[dict], length: int) -> list[tuple[int, int]]:
 ROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _cut(length: int, characters: bool):
+def _cut(length: int, characters: bool, passage: int):
     """Replace a row's text and windows by what is cut and what is left; other columns pass."""
 
     def run(batches):
         for batch in batches:
             at, names = 0, batch.schema.names
-            texts, windows = (batch.column(names.index(c)) for c in ("text", "windows"))
+            texts, windows, shorter = (batch.column(names.index(c)) for c in ("text", "windows", "shorter"))
             while at < batch.num_rows:
-                start, held, cols = at, 0, [[], [], [], [], []]
+                start, held, cols = at, 0, [[], [], [], [], [], []]
                 while at < batch.num_rows and held < 8 << 20:
                     text = texts[at].as_py()
                     spans, parts, end = spans_to_cut(windows[at].as_py() or [], length), [], 0
@@ -308,47 +308,66 @@ def _cut(length: int, characters: bool):
                     kept = b"".join([*parts, text[end:]]) if spans else text
                     if characters and spans:
                         kept = kept.decode("utf-8", "ignore").encode()
-                    row = len(text), len(text) - len(kept), [{"start": a, "end": b} for a, b in spans], kept, hashlib.sha256(kept).hexdigest()
+                    passages = sum(b - a for a, b in spans_to_cut(shorter[at].as_py() or [], passage))
+                    row = len(text), len(text) - len(kept), [{"start": a, "end": b} for a, b in spans], kept, hashlib.sha256(kept).hexdigest(), passages
                     for c, x in zip(cols, row):
                         c.append(x)
                     held += len(text)
                     at += 1
-                kinds = [pa.int64(), pa.int64(), ROW, pa.binary(), pa.string()]
+                kinds = [pa.int64(), pa.int64(), ROW, pa.binary(), pa.string(), pa.int64()]
                 passed = [batch.column(names.index(c)).slice(start, at - start) for c in ("doc_id", "rest")]
-                yield pa.RecordBatch.from_arrays([*passed, *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc_id", "rest", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([*passed, *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc_id", "rest", "n_bytes", "n_removed", "spans", "kept", "kept_sha256", "passage_bytes"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, carry: list[str] | None = None, characters: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans, kept, kept_sha256, rest: one row for each row of docs (doc_id, text).
+KEY = ["doc_id", "row_key"]
 
-    spans are byte positions of the input; kept is what is left, without the rest of
-    characters that a cut splits if `characters`; rest is a struct of the columns to carry.
-    """
-    rest = F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]) if carry else F.lit(0)
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), key.alias("row_key"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), rest.alias("rest"))
-    found = base.select("doc_id", "row_key", "text").filter(F.octet_length("text") >= length).mapInArrow(tidied(_find_runs(length, gram)), RUNS)
-    settled = with_partitions(found, "anchor").sortWithinPartitions("anchor", "context", "doc_id", "row_key", "lo").mapInArrow(tidied(_settle), SETTLED)
+
+def repeated_windows(base: DataFrame, length: int, gram: int, hot: int = HOT) -> DataFrame:
+    """doc_id, row_key, lo, n: runs of windows of base (doc_id, row_key, text) that also start elsewhere."""
+    found = base.filter(F.octet_length("text") >= length).mapInArrow(tidied(_find_runs(length, gram)), RUNS)
+    settled = cut(with_partitions(found, "anchor").sortWithinPartitions("anchor", "context", "doc_id", "row_key", "lo").mapInArrow(tidied(_settle), SETTLED))
     wanted = settled.filter("differs")
     full = wanted.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor", F.lit(True).alias("hot"))
     wanted = wanted.join(full, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    lists = wanted.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("anchor", "lo", "n", "repeated", "hot")).alias("wanted")).alias("r")
-    # the one exchange of texts, used twice
-    dealt = with_partitions(base, "doc_id", "row_key").alias("l")
-    on = (F.col("l.doc_id") == F.col("r.doc_id")) & (F.col("l.row_key") == F.col("r.row_key"))
-    contexts = dealt.join(lists, on).select("l.doc_id", "l.row_key", "l.text", "r.wanted").mapInArrow(tidied(_contexts(length)), "doc_id long, row_key long, anchor long, lo int, n int, data binary, repeated boolean, hot boolean")
+    lists = cut(wanted.groupBy(*KEY).agg(F.collect_set(F.struct("anchor", "lo", "n", "repeated", "hot")).alias("wanted")))
+    # rows that share id and text are one here: their runs are alike
+    texts = hits(base, lists, KEY, lists.count()).filter("hit").groupBy(*KEY).agg(F.first("text").alias("text"))
+    contexts = texts.join(lists, KEY).select(*KEY, "text", "wanted").mapInArrow(tidied(_contexts(length)), "doc_id long, row_key long, anchor long, lo int, n int, data binary, repeated boolean, hot boolean")
     cool = with_partitions(contexts.filter("not hot").drop("hot"), "anchor").sortWithinPartitions("anchor").mapInArrow(tidied(_compare(length)), SPAN)
     windows = contexts.filter("hot").drop("hot").mapInArrow(tidied(_window_hashes(length)), "doc_id long, row_key long, lo int, h binary, repeated boolean")
     many = windows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    warm = windows.filter("not repeated").join(many, "h", "left_semi").select("doc_id", "row_key", "lo", F.lit(1).alias("n"))
-    equal = settled.filter("repeated").select("doc_id", "row_key", "lo", "n")
-    of_row = equal.unionByName(cool).unionByName(warm).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("lo", "n")).alias("windows")).alias("w")
-    on = (F.col("l.doc_id") == F.col("w.doc_id")) & (F.col("l.row_key") == F.col("w.row_key"))
-    schema = f"doc_id long, rest {base.schema['rest'].dataType.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string"
-    done = dealt.join(of_row, on, "left").select("l.doc_id", "l.rest", "l.text", "w.windows").mapInArrow(tidied(_cut(length, characters)), schema)
-    return done.withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID})"))
+    warm = windows.filter("not repeated").join(many, "h", "left_semi").select(*KEY, "lo", F.lit(1).alias("n"))
+    return settled.filter("repeated").select(*KEY, "lo", "n").unionByName(cool).unionByName(warm)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, carry: list[str] | None = None, characters: bool = False, passage: int = 0, passage_gram: int = 64) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans, kept, kept_sha256, passage_bytes, rest: one row for each row of docs (doc_id, text).
+
+    spans are byte positions of the input; kept is what is left, without the rest of
+    characters that a cut splits if `characters`; rest is a struct of the columns to carry. With `passage`, a length
+    below `length`, passage_bytes counts the bytes that strings of that length cover which also start elsewhere;
+    they are found alike, but not cut.
+    """
+    rest = F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]) if carry else F.lit(0)
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), key.alias("row_key"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), rest.alias("rest"))
+    rows = base.select(*KEY, "text")
+    # copies of a row name the same windows, once
+    lists = lambda found, name: found.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "n")).alias(name))
+    of_row = lists(repeated_windows(rows, length, gram, hot), "windows")
+    if passage:
+        of_row = of_row.join(lists(repeated_windows(rows, passage, passage_gram, hot), "shorter"), KEY, "full")
+    else:
+        of_row = of_row.withColumn("shorter", F.lit(None).cast("array<struct<lo:int,n:int>>"))
+    of_row = cut(of_row.select(*KEY, "windows", "shorter"))
+    told = hits(base, of_row, KEY, of_row.count())
+    schema = f"doc_id long, rest {base.schema['rest'].dataType.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string, passage_bytes long"
+    done = told.filter("hit").join(of_row, KEY, "left").select("doc_id", "rest", "text", "windows", "shorter").mapInArrow(tidied(_cut(length, characters, passage)), schema)
+    none = F.lit(0).cast("long")
+    whole = told.filter("not hit").select("doc_id", "rest", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.col("text").alias("kept"), F.sha2("text", 256).alias("kept_sha256"), none.alias("passage_bytes"))
+    return whole.unionByName(done).withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID})"))
 
 
 def without_repeats(docs: DataFrame, length: int, gram: int) -> DataFrame:

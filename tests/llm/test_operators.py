@@ -164,6 +164,15 @@ def test_suffix_array(spark, odd, hot):
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_passages_are_told_and_stay(spark, odd):
+    docs = odd.select("doc_id", "text").unionAll(spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id") + 1000, "text"))
+    rows = [tuple(r) for r in docs.collect()]
+    texts = [(t or "").encode() for _, t in rows]
+    want = Counter((r[0], *x, y[1]) for r, x, y in zip(rows, brute_cut(texts, 400), brute_cut(texts, 200)))
+    got = suffix.remove_repeats(docs, passage=200).select("doc_id", "n_bytes", "n_removed", F.size("spans"), "kept_sha256", "passage_bytes").collect()
+    assert Counter(map(tuple, got)) == want
+
+
 def test_suffix_levels():
     rng = np.random.default_rng(3)
     family = suffix.SuffixLevels(4)
