@@ -356,11 +356,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     rows = base.select(*KEY, "text")
     # copies of a row name the same windows, once
     lists = lambda found, name: found.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "n")).alias(name))
-    of_row = lists(repeated_windows(rows, length, gram, hot), "windows")
     if passage:
-        of_row = of_row.join(lists(repeated_windows(rows, passage, passage_gram, hot), "shorter"), KEY, "full")
+        shorter = cut(lists(repeated_windows(rows, passage, passage_gram, hot), "shorter"))
+        # what repeats a longer string repeats a shorter one
+        some = hits(rows, shorter, KEY, shorter.count()).filter("hit").drop("hit")
+        of_row = lists(repeated_windows(some, length, gram, hot), "windows").join(shorter, KEY, "full")
     else:
-        of_row = of_row.withColumn("shorter", F.lit(None).cast("array<struct<lo:int,n:int>>"))
+        of_row = lists(repeated_windows(rows, length, gram, hot), "windows").withColumn("shorter", F.lit(None).cast("array<struct<lo:int,n:int>>"))
     of_row = cut(of_row.select(*KEY, "windows", "shorter"))
     told = hits(base, of_row, KEY, of_row.count())
     schema = f"doc_id long, rest {base.schema['rest'].dataType.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string, passage_bytes long"
