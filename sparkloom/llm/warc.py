@@ -3,16 +3,21 @@
 A record's block is an HTTP response whose body is framed in chunks; a block over SEGMENT bytes becomes a
 first record and continuations (WARC-Segment-Number, WARC-Segment-Origin-ID, and on the last one
 WARC-Segment-Total-Length). Payloads of MIN_REVISIT bytes or more that equal one with a smaller page_id are
-revisit records without a body, which name that response.
+revisit records without a body, which name that response; what a revisit's length, digest and page are is read from the
+record that it names. A response that others revisit is named after its payload, any other after its place.
 
 Archives are written by Spark's own text writer: two CRLF, which end every record, are its line separator, so
 files are committed and retried as any table is and lie where spark.checkpoint.dir says. A file has at most
 RECORDS_A_FILE records of at most SEGMENT bytes, which bounds what a reading task holds. Only continuation
 records are shuffled, by their origin.
 
-Defined cases: null html is an empty payload; a null page_id is kept as null; rows that share id and payload
-are all responses; an empty table gives an archive without records. A record whose segments are not 1..n, or
-don't add up to the total length, or whose digest differs, has status `broken`, never a wrong payload.
+Spark's text writer compresses whole files and names them .txt.gz; archives of others, *.warc or *.warc.gz and also
+gzipped by record, are read alike.
+
+Defined cases: null html is an empty payload; a null page_id is kept as null and revisits any that is not; rows that
+share id and payload are all responses, one record as often; an empty table gives an archive without records. A record
+whose segments are not 1..n, or don't add up to the total length, or whose digest differs, and a revisit whose record
+is missing or broken, has status `broken`, never a wrong payload.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, shared_dir, tidied
 
 SEGMENT = 64 * 1024
 CHUNK = 16 * 1024
@@ -38,7 +43,8 @@ VERSION = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-PARSED = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, status string, payload binary, origin string, segment int, total long, block binary"
+WHOLE = "page_id long, record_type string, record string, refers string, payload_bytes long, payload_digest string, status string, payload binary"
+PARSED = WHOLE + ", segment int, total long, block binary"
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
@@ -83,7 +89,7 @@ def records(page_id, url, html: bytes, digest: str, refers_to, name: str, segmen
     if url:
         fields.append((b"WARC-Target-URI", re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0], url.encode())))
     if refers_to is not None:
-        more = [(b"WARC-Type", b"revisit"), (b"WARC-Profile", PROFILE), (b"WARC-Refers-To", b"<urn:sparkloom:page:%d>" % refers_to), (b"WARC-Payload-Length", b"%d" % len(html)), (b"Content-Type", b"application/http; msgtype=response")]
+        more = [(b"WARC-Type", b"revisit"), (b"WARC-Profile", PROFILE), (b"WARC-Refers-To", b"<urn:sparkloom:%s>" % refers_to.encode()), (b"Content-Type", b"application/http; msgtype=response")]
         yield _record([*more, *fields], HTTP + b"\r\n")
         return
     block = HTTP + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(html)
@@ -100,14 +106,17 @@ def records(page_id, url, html: bytes, digest: str, refers_to, name: str, segmen
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html (binary), digest, refers_to."""
-    base = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
+    """page_id, url, html (binary), digest, name (of a response that others revisit), refers_to (that name, of a revisit)."""
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
     base = base.withColumn("digest", F.sha2("html", 256))
     long = F.octet_length("html") >= MIN_REVISIT
-    first = base.filter(long).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"), F.min(F.octet_length("html")).alias("b"))
-    first = cut(first.filter("n > 1").select(F.col("digest").alias("first_digest"), "first_id"))
+    first = base.filter(long).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    first = cut(first.filter("n > 1 and first_id is not null").select(F.col("digest").alias("first_digest"), "first_id"))
     joined = base.join(first, base["digest"] == first["first_digest"], "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    named = F.concat(F.lit("payload:"), "digest")
+    own = F.col("page_id").eqNullSafe(F.col("first_id"))
+    has = F.col("first_id").isNotNull()
+    return joined.select("page_id", "url", "html", "digest", F.when(has & own, named).alias("name"), F.when(has & ~own, named).alias("refers_to"))
 
 
 def write_archive(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
@@ -117,8 +126,8 @@ def write_archive(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             out, held = [], 0
-            for page_id, url, html, digest, refers_to in zip(*(batch.column(i) for i in range(5))):
-                name, n = f"record:{part}:{n}", n + 1
+            for page_id, url, html, digest, name, refers_to in zip(*(batch.column(i) for i in range(6))):
+                name, n = name.as_py() or f"record:{part}:{n}", n + 1
                 for record in records(page_id.as_py(), url.as_py(), html.as_py(), digest.as_py(), refers_to.as_py(), name, segment):
                     out.append(record)
                     held += len(record)
@@ -170,60 +179,70 @@ def _whole(block: bytes, digest: str):
     return payload, found, "ok" if not digest or digest == found else "broken"
 
 
-def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """page_id, record_type, refers_to, payload_bytes, payload_digest, status, payload: a row for each response or revisit."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
-
-    def rows(data: bytes, segments: bool):
-        for f, block in parse(data):
-            number = f.get(b"warc-segment-number")
-            if (number is not None) != segments:
-                continue
-            kind = f[b"warc-type"].decode()
-            digest = f.get(b"warc-payload-digest", b"").rpartition(b":")[2].decode()
-            row = dict.fromkeys(("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "status", "payload", "origin", "segment", "total", "block"))
-            row |= {"page_id": _id(f.get(b"warc-page-id")), "record_type": kind, "payload_digest": digest}
-            if segments:
-                total = f.get(b"warc-segment-total-length")
-                row |= {"origin": f.get(b"warc-segment-origin-id", f[b"warc-record-id"]).decode(), "segment": int(number), "total": int(total) if total else None, "block": block}
-            elif kind == "revisit":
-                row |= {"refers_to": _id(f.get(b"warc-refers-to")), "payload_bytes": int(f[b"warc-payload-length"]), "status": "ok"}
-            elif kind == "response":
-                payload, found, status = _whole(block, digest)
-                row |= {"payload_bytes": None if payload is None else len(payload), "payload_digest": found, "status": status, "payload": payload if payloads else None}
-            else:
-                continue
-            yield row
-
-    kinds = {"page_id": pa.int64(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "status": pa.string(), "payload": pa.binary(), "origin": pa.string(), "segment": pa.int32(), "total": pa.int64(), "block": pa.binary()}
-
-    def reader(segments: bool):
-        def read(batches):
-            for batch in batches:
-                for data in batch.column(0):
-                    out, held = [], 0
-                    for row in rows(data.as_py(), segments):
-                        out.append(row)
-                        held += len(row["payload"] or b"") + len(row["block"] or b"") + 200
-                        if held > 8 << 20:
-                            yield pa.RecordBatch.from_pylist(out, pa.schema(list(kinds.items())))
-                            out, held = [], 0
-                    if out:
-                        yield pa.RecordBatch.from_pylist(out, pa.schema(list(kinds.items())))
-
-        return read
-
-    def reassemble(table: pa.Table) -> pa.Table:
-        parts = sorted(table.to_pylist(), key=lambda r: r["segment"])
+KINDS = {"page_id": pa.int64(), "record_type": pa.string(), "record": pa.string(), "refers": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "status": pa.string(), "payload": pa.binary(), "segment": pa.int32(), "total": pa.int64(), "block": pa.binary()}
+
+
+def _rows(data: bytes, payloads: bool):
+    """The responses, revisits and segments of a file; a segment goes by the id of its first record."""
+    for f, block in parse(data):
+        number, kind = f.get(b"warc-segment-number"), f[b"warc-type"].decode()
+        digest = f.get(b"warc-payload-digest", b"").rpartition(b":")[2].decode()
+        row = dict.fromkeys(KINDS) | {"page_id": _id(f.get(b"warc-page-id")), "record_type": kind, "payload_digest": digest, "record": f[b"warc-record-id"].decode()}
+        if number is not None:
+            total = f.get(b"warc-segment-total-length")
+            row |= {"record": f.get(b"warc-segment-origin-id", f[b"warc-record-id"]).decode(), "segment": int(number), "total": int(total) if total else None, "block": block}
+        elif kind == "revisit":
+            row |= {"refers": f.get(b"warc-refers-to", b"").decode()}
+        elif kind == "response":
+            payload, found, status = _whole(block, digest)
+            row |= {"payload_bytes": None if payload is None else len(payload), "payload_digest": found, "status": status, "payload": payload if payloads and status == "ok" else None}
+        else:
+            continue
+        yield row
+
+
+def _reassemble(payloads: bool):
+    def run(table: pa.Table) -> pa.Table:
+        # a record that was written several times has each segment so often
+        parts = list({r["segment"]: r for r in sorted(table.to_pylist(), key=lambda r: r["segment"])}.values())
         first, block = parts[0], b"".join(r["block"] for r in parts)
         good = [r["segment"] for r in parts] == list(range(1, len(parts) + 1)) and parts[-1]["total"] == len(block)
         payload, found, status = _whole(block, first["payload_digest"]) if good else (None, None, "broken")
-        row = {"page_id": first["page_id"], "record_type": first["record_type"], "refers_to": None, "payload_bytes": None if payload is None else len(payload), "payload_digest": found, "status": status, "payload": payload if payloads else None}
-        return pa.Table.from_pylist([row], pa.schema([(k, kinds[k]) for k in row]))
+        row = first | {"payload_bytes": None if payload is None else len(payload), "payload_digest": found, "status": status, "payload": payload if payloads and status == "ok" else None}
+        times = sum(r["segment"] == first["segment"] for r in table.select(["segment"]).to_pylist())
+        return pa.Table.from_pylist([{k: row[k] for k in list(KINDS)[:8]}] * times, pa.schema(list(KINDS.items())[:8]))
+
+    return run
 
-    whole = files.mapInArrow(reader(False), PARSED).select(*list(kinds)[:7])
-    pieces = files.mapInArrow(reader(True), PARSED)
-    return whole.unionByName(pieces.groupBy("origin").applyInArrow(reassemble, ", ".join(PARSED.split(", ")[:7])))
+
+def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """page_id, record_type, refers_to, payload_bytes, payload_digest, status, payload: a row for each response or revisit."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,warc}*").load(path).select("content")
+
+    def read(batches):
+        schema = pa.schema(list(KINDS.items()))
+        for batch in batches:
+            for data in batch.column(0):
+                out, held = [], 0
+                for row in _rows(data.as_py(), payloads):
+                    out.append(row)
+                    held += len(row["payload"] or b"") + len(row["block"] or b"") + 200
+                    if held > 8 << 20:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+
+    # read once, for whole records, segments and revisits
+    parsed = cut(files.mapInArrow(tidied(read), PARSED))
+    whole = parsed.filter("segment is null").select(*list(KINDS)[:8])
+    pieces = parsed.filter("segment is not null").groupBy("record").applyInArrow(_reassemble(payloads), WHOLE)
+    responses = whole.filter("record_type = 'response'").unionByName(pieces)
+    named = responses.select("record", F.col("page_id").alias("refers_to"), "payload_bytes", F.col("payload_digest").alias("digest"), "status").dropDuplicates(["record"])
+    revisits = whole.filter("record_type = 'revisit'").select("page_id", "record_type", F.col("refers").alias("record"), "payload_digest").join(named, "record", "left")
+    right = F.coalesce((F.col("status") == "ok") & ((F.col("payload_digest") == F.col("digest")) | (F.col("payload_digest") == "")), F.lit(False))
+    revisits = revisits.select("page_id", "record_type", "refers_to", "payload_bytes", F.col("digest").alias("payload_digest"), F.when(right, "ok").otherwise("broken").alias("status"), F.lit(None).cast("binary").alias("payload"))
+    return responses.select("page_id", "record_type", F.lit(None).cast("long").alias("refers_to"), "payload_bytes", "payload_digest", "status", "payload").unionByName(revisits)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, payloads: bool = False) -> DataFrame:
