@@ -1,6 +1,8 @@
 """Operators against brute force, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
+import gzip
 import hashlib
+import pathlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -191,10 +193,24 @@ def test_without_repeats(odd):
     assert rows[6].text == "" and rows[4].text == "one two" and rows[99].n_chars == 1
 
 
+def path_of(path):
+    return [p for p in pathlib.Path(path).iterdir() if p.name.startswith("part-")]
+
+
+def test_broken_records(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 500), (2, "u", "x" * 500), (3, "u", "y" * 500)], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "a"), 200)
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in path_of(tmp_path / "a"))
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/cut.warc.gz").write_bytes(gzip.compress(data.replace(b"x" * 9, b"x" * 8 + b"z", 1)))
+    got = {r.page_id: (r.status, r.payload) for r in warc.read_archive(spark, str(tmp_path / "b")).collect()}
+    assert got[1] == ("broken", None) and got[2][0] == "broken" and got[3] == ("ok", b"y" * 500)
+
+
 def test_warc(spark, tmp_path):
     rng = np.random.default_rng(4)
     long = "".join(rng.choice(list("ab\r\n é<>"), 5000))
-    pages = [(1, "u", long), (2, None, long), (3, "u\r\nX: y", ""), (4, "u", None), (5, "u", "short"), (6, "u", "short"), (7, "u", "WARC/1.1\r\n\r\n" * 200), (7, "u", "WARC/1.1\r\n\r\n" * 200), (None, "u", "no id" * 50)]
+    pages = [(1, "u", long), (2, None, long), (3, "u\r\nX: y", ""), (4, "u", None), (5, "u", "short"), (6, "u", "short"), (7, "u", "WARC/1.1\r\n\r\n" * 200), (7, "u", "WARC/1.1\r\n\r\n" * 200), (None, "u", "no id" * 50), (None, "u", long)]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
     for segment in (100, 1 << 16):
         path = str(tmp_path / f"s{segment}")
@@ -202,9 +218,12 @@ def test_warc(spark, tmp_path):
         got = warc.read_archive(spark, path).collect()
         assert {r.status for r in got} == {"ok"} and len(got) == len(pages)
         assert Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in got) == Counter(
-            (i, "revisit" if i == 2 else "response", 1 if i == 2 else None, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest()) for i, _, h in pages
+            (i, "revisit" if h is long and i != 1 else "response", 1 if h is long and i != 1 else None, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest()) for i, _, h in pages
         )
-        assert Counter(r.payload.decode() for r in got if r.record_type == "response") == Counter(h or "" for i, _, h in pages if i != 2)
+        assert Counter(r.payload.decode() for r in got if r.record_type == "response") == Counter(h or "" for i, _, h in pages if h is not long or i == 1)
+        records = [f for p in path_of(path) for f, _ in warc.parse(p.read_bytes())]
+        named = {f[b"warc-record-id"] for f in records if f[b"warc-type"] == b"response"}
+        assert {f[b"warc-refers-to"] for f in records if f[b"warc-type"] == b"revisit"} <= named  # records that are there
     assert warc.dechunked(warc.chunked(b"x" * 40000, 999)) == b"x" * 40000
     assert warc.round_trip(spark, frame.limit(0)).count() == 0
 
@@ -265,9 +284,33 @@ def test_multi_index():
     codes = rng.integers(256, size=(500, 16), dtype=np.uint8)
     codes[100:200] = codes[:100] ^ (rng.random((100, 16)) < 0.2).astype(np.uint8)
     for radius in (0, 5, 17, 50, 128):
-        index = ann.MultiIndex(codes, radius)
+        index = ann.MultiIndex(codes)
         for code in codes[::50]:
-            assert index.within(code).tolist() == np.flatnonzero(np.bitwise_count(codes ^ code).sum(1) <= radius).tolist()
+            away = np.bitwise_count(codes ^ code).sum(1)
+            assert index.within(code, radius)[0].tolist() == np.flatnonzero(away <= radius).tolist()
+            for k in (1, 20, 500, 900):
+                assert index.nearest(code, radius, k).tolist() == np.flatnonzero(away <= max(radius, np.sort(away)[min(k, 500) - 1])).tolist()
+
+
+def test_long_substrings(monkeypatch):
+    monkeypatch.setattr(ann, "LONG_FROM", 1)
+    test_multi_index()
+
+
+def test_index_leaves_out_what_is_far():
+    """Vectors with structure: a query meets few of the codes."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((60, 32))
+    x = (centres[:, None] + 0.1 * rng.standard_normal((60, 60, 32))).reshape(-1, 32)
+    x = rng.permutation(x / np.linalg.norm(x, axis=1, keepdims=True))
+    codes = ann.Codes(x[:2000], 1.0, 20)
+    index, met, hit = ann.MultiIndex(codes.encode(x)), 0, 0
+    for i in range(0, len(x), 90):
+        code = codes.encode(x[i : i + 1], True)[0]
+        met += index.within(code, codes.radius)[2]
+        near = np.argsort(-(x @ x[i]))[:20]
+        hit += np.isin(near, index.nearest(code, codes.radius, 20)).sum()
+    assert hit >= 0.9 * 20 * 40 and met <= 0.1 * 40 * len(x)
 
 
 def test_language(spark, odd):
