@@ -4,8 +4,8 @@ Codes: vectors are lifted by one component so that the largest inner product is
 rotations learned on a sample (principal axes, then iterative quantization, from several starts) and cut to signs:
 BITS bits. An index shard keeps the codes' substrings in bucket tables of their own, of 8 bits each or, from LONG_FROM
 rows, 16. A query probes, by the pigeonhole rule, in each substring the buckets within its share of the radius, so every
-code within the radius is met; those that are within it are reranked by the float vectors in double precision. The
-radius is the sample's QUANTILE of code distances from queries to their true nearest, which are farther in a sample than
+code within the radius is met (once most of a shard's codes are, the others' are read too); those that are within it
+are reranked by the float vectors in double precision. The radius is the sample's QUANTILE of code distances from queries to their true nearest, which are farther in a sample than
 in the whole table. Where a shard has fewer than k codes within it, the query's radius grows by a bit in each substring
 until k codes are proven, or all rows of the shard are met.
 
@@ -131,6 +131,9 @@ class MultiIndex:
             full = n > 0
             lo, n = lo[full], n[full]
             met[self.order[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n), j]] = True
+            if 2 * np.count_nonzero(met) > len(met):  # reading the others' codes is less work than probing on
+                met[:] = True
+                break
         found = np.flatnonzero(met)
         away = np.bitwise_count(self.words[found] ^ code.view(self.words.dtype)).sum(1, dtype=np.int64)
         near = away <= radius
