@@ -6,13 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = "[A-Za-z0-9]+"
-EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: RFC 5322's atoms, joined by dots (without the quotes ' and `), and RFC 1034's labels, the last of letters.
+ATOM = "[A-Za-z0-9!#$%&*+/=?^_{|}~-]+"
+LABEL = "[A-Za-z0-9]+(-+[A-Za-z0-9]+)*"
+EMAIL = f"{ATOM}([.]{ATOM})*@({LABEL}[.])+[A-Za-z]{{2,}}"
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits, repeats kept; a null text has none."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    return F.transform(found, F.lower)
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(TOKEN), F.lit(0))
 
 
 def count_of(items: Column, wanted: str) -> Column:

@@ -34,10 +34,11 @@ def bm25(docs: DataFrame, question: list[str], k: int, k1: float = K1, b: float
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
-    """term, df, tf over all documents; each task counts a term once before anything is dealt."""
-    words = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
-    per_doc = words.groupBy("term", "doc_id").agg(F.count("*").alias("c"))
-    return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("c").alias("tf"))
+    """term, df (rows that hold it), tf over all documents; one shuffle, of terms that each task has summed."""
+    words = docs.select(tokens(F.col("text")).alias("w"))
+    one = lambda items, tf: F.transform(items, lambda x: F.struct(x.alias("term"), F.lit(tf).alias("tf"), F.lit(1 - tf).alias("df")))
+    each = words.select(F.explode(F.concat(one(F.col("w"), 1), one(F.array_distinct("w"), 0))).alias("t"))
+    return each.groupBy("t.term").agg(F.sum("t.df").alias("df"), F.sum("t.tf").alias("tf"))
 
 
 def manifest(rows: DataFrame, name: str, content: str) -> DataFrame:
