@@ -499,10 +499,12 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = 52, width: int =
     """
     found = cut(near_duplicates(docs, words, radius, width, sure, similarity).select(_id("doc_id").alias("id"), F.col("row_key").alias("key"), "component"))
     # rows that share id and text are in one component; ids come before none
-    place = F.struct((F.col("id") == NO_ID).alias("none"), "id", "key")
-    each = found.groupBy("component", "id", "key").agg(F.count("*").alias("n"))
-    first = each.groupBy("component").agg(F.min(place).alias("least"))
-    some = cut(each.join(first, "component").select("id", "key", "n", (place == F.col("least")).alias("stays")).filter("n > 1 or not stays"))
+    each = found.groupBy("id", "key").agg(F.min("component").alias("component"), F.count("*").alias("n"))
+    first = each.groupBy("component").agg(F.min(F.struct((F.col("id") == NO_ID).alias("none"), "id", "key")).alias("least"))
+    # joined by row, as a component may hold a third of them
+    first = first.select("least.id", "least.key", F.lit(True).alias("stays"))
+    some = each.join(first, ["id", "key"], "left").select("id", "key", "n", F.coalesce("stays", F.lit(False)).alias("stays"))
+    some = cut(some.filter("n > 1 or not stays"))
     # a row's columns travel as one, apart from its key
     keyed = docs.select(_id("doc_id").alias("id"), row_key().alias("key"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
     keyed = hits(keyed, some, ["id", "key"], some.count())

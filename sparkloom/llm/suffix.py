@@ -264,18 +264,54 @@ def _contexts(length: int):
     return run
 
 
+HASHED = "doc_id long, row_key long, lo int, h long, g long, repeated boolean, known boolean"
+
+
 def _window_hashes(length: int):
     def run(batches):
+        # a task deals each hash twice at most: more only tell that they repeat, and go anywhere
+        seen: dict[int, int] = {}
+        part, told = TaskContext.get().partitionId(), 0
         for batch in batches:
             for doc_id, key, _, lo, n, data, repeated in zip(*(c.to_pylist() for c in batch.columns)):
-                h = [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)]
+                h = [xxhash.xxh3_128_intdigest(data[i : i + length]) for i in range(n)]
+                known = [False] * n
+                for i, x in enumerate(h):
+                    seen[x] = times = seen.get(x, 0) + 1
+                    if times > 2:
+                        told += 1
+                        known[i], h[i] = True, xxhash.xxh3_128_intdigest(b"%d %d" % (part, told))
+                if len(seen) > SEEN:
+                    seen.clear()
+                halves = np.frombuffer(b"".join(x.to_bytes(16, "little") for x in h), dtype=np.int64).reshape(-1, 2)
                 at = np.arange(lo, lo + n, dtype=np.int32)
-                arrays = [pa.array([doc_id] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(at), pa.array(h, pa.binary()), pa.array([repeated] * n)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_key", "lo", "h", "repeated"])
+                arrays = [pa.array([doc_id] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(at), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([repeated] * n), pa.array(known)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_key", "lo", "h", "g", "repeated", "known"])
 
     return run
 
 
+def _again(batches):
+    """Of rows sorted by hash, the places that are not known to repeat as a part of their context and whose hash comes again; one row is carried."""
+    rest, told = None, False
+    for batch in itertools.chain(batches, [None]):
+        table = pa.Table.from_batches([batch]) if batch is not None else None
+        if rest is not None:
+            table = pa.concat_tables([rest, table]) if table is not None else rest
+        if table is None or not table.num_rows:
+            continue
+        h, g, repeated, known = (table[c].to_numpy() for c in ("h", "g", "repeated", "known"))
+        same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
+        again = np.concatenate([[told], same]) | np.concatenate([same, [False]]) | known
+        end = len(h)
+        if batch is not None:  # the last row's hash may go on
+            end, told = end - 1, bool(same[-1]) if len(same) else told
+            rest = table.slice(end, 1).combine_chunks()
+        found = table.slice(0, end).filter(pa.array((again & ~repeated)[:end])).combine_chunks()
+        one = pa.array(np.ones(found.num_rows, dtype=np.int32))
+        yield from pa.table({"doc_id": found["doc_id"], "row_key": found["row_key"], "lo": found["lo"], "n": one}).to_batches()
+
+
 def spans_to_cut(windows: list[dict], length: int) -> list[tuple[int, int]]:
     """Maximal spans of bytes that runs of windows cover."""
     spans: list[list[int]] = []
@@ -336,9 +372,8 @@ def repeated_windows(base: DataFrame, length: int, gram: int, hot: int = HOT) ->
     texts = hits(base, lists, KEY, lists.count()).filter("hit").groupBy(*KEY).agg(F.first("text").alias("text"))
     contexts = texts.join(lists, KEY).select(*KEY, "text", "wanted").mapInArrow(tidied(_contexts(length)), "doc_id long, row_key long, anchor long, lo int, n int, data binary, repeated boolean, hot boolean")
     cool = with_partitions(contexts.filter("not hot").drop("hot"), "anchor").sortWithinPartitions("anchor").mapInArrow(tidied(_compare(length)), SPAN)
-    windows = contexts.filter("hot").drop("hot").mapInArrow(tidied(_window_hashes(length)), "doc_id long, row_key long, lo int, h binary, repeated boolean")
-    many = windows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    warm = windows.filter("not repeated").join(many, "h", "left_semi").select(*KEY, "lo", F.lit(1).alias("n"))
+    windows = contexts.filter("hot").drop("hot").mapInArrow(tidied(_window_hashes(length)), HASHED)
+    warm = with_partitions(windows, "h").sortWithinPartitions("h", "g").mapInArrow(tidied(_again), SPAN)
     return settled.filter("repeated").select(*KEY, "lo", "n").unionByName(cool).unionByName(warm)
 
 

@@ -175,6 +175,22 @@ def test_passages_are_told_and_stay(spark, odd):
     assert Counter(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_state_is_carried_over_batches(spark, odd, hot):
+    """With batches of 7 rows each group goes on from batch to batch."""
+    docs = odd.select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    texts = [(t or "").encode() for _, t in rows]
+    plain = [lambda: suffix.remove_repeats(docs, 100, 32, hot).select("doc_id", "n_bytes", "n_removed", F.size("spans"), "kept_sha256"), lambda: simhash.near_duplicates(docs).select("doc_id", "component_id"), lambda: spans.remove_repeated_spans(docs)]
+    want = [Counter(map(tuple, f().collect())) for f in plain]
+    assert want[0] == Counter((r[0], *x) for r, x in zip(rows, brute_cut(texts, 100)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert [Counter(map(tuple, f().collect())) for f in plain] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_suffix_levels():
     rng = np.random.default_rng(3)
     family = suffix.SuffixLevels(4)
