@@ -19,8 +19,11 @@ read in runs of CHUNK windows; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import heapq
 import itertools
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,8 @@ PLACE = np.uint64((1 << 20) - 1)
 HOT = 2000
 #: Contexts of a batch.
 BATCH = 64
+#: Runs or contexts that a task gives at once; contexts are below LENGTH * 2 bytes.
+ROWS = 1 << 14
 #: Contexts that a task remembers to have dealt.
 SEEN = 150_000
 SEED = 3
@@ -104,6 +109,11 @@ def runs(text: bytes, length: int = LENGTH, gram: int = GRAM):
 
 
 def _find_runs(length: int, gram: int):
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()]
+
+    def told_runs(cols: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "row_key", "anchor", "context", "lo", "n", "known"])
+
     def find(batches):
         # a task deals each context of an anchor twice at most: more only tell that they repeat, and go anywhere
         once: set[int] = set()
@@ -111,8 +121,10 @@ def _find_runs(length: int, gram: int):
         part, told = TaskContext.get().partitionId(), 0
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], [], []]
-            for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for lo, n, anchor, context in runs(text or b"", length, gram):
+            ids, keys, texts = batch.columns
+            for row in range(batch.num_rows):
+                doc_id, key = ids[row].as_py(), keys[row].as_py()
+                for lo, n, anchor, context in runs(texts[row].as_py() or b"", length, gram):
                     both, known = hash((anchor, context)), False
                     if both in twice:
                         told, known = told + 1, True
@@ -123,11 +135,13 @@ def _find_runs(length: int, gram: int):
                         once.add(both)
                     for c, x in zip(cols, (doc_id, key, anchor, context, lo, n, known)):
                         c.append(x)
+                    if len(cols[0]) == ROWS:
+                        yield told_runs(cols)
+                        cols = [[], [], [], [], [], [], []]
                 if len(once) > SEEN:
                     once.clear()
                     twice.clear()
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "row_key", "anchor", "context", "lo", "n", "known"])
+            yield told_runs(cols)
 
     return find
 
@@ -175,29 +189,70 @@ def _settle(batches):
 
 
 class SuffixLevels:
-    """A logarithmic family of suffix arrays: sorted windows with their places, equal-sized levels merged."""
+    """A logarithmic family of suffix arrays over one text, the contexts end to end.
+
+    A level is an array of the places in that text where windows start, in the order of the windows. A batch's array
+    is scanned against each level's, then becomes a level; levels of equal size merge. repeats has a one for each
+    place whose window starts elsewhere too.
+    """
 
     def __init__(self, length: int):
         self.length, self.levels = length, []
-        self.matched: set[tuple[int, int]] = set()
-
-    def _scan(self, merged: list[tuple[bytes, int, int]]) -> None:
-        """Mark the neighbours of a merged suffix array that agree on the whole length."""
-        for a, b in zip(merged, merged[1:]):
-            if a[0] == b[0]:
-                self.matched.add(a[1:])
-                self.matched.add(b[1:])
+        self.text, self.repeats, self.contexts = b"", bytearray(), []
+
+    def _window(self, place: int) -> bytes:
+        return self.text[place : place + self.length]
+
+    def _sorted(self, places: list[int]) -> array:
+        """The suffix array of places; neighbours that agree on the whole length repeat."""
+        places.sort(key=self._window)
+        before, window = -1, None
+        for place in places:
+            last, window = window, self._window(place)
+            if window == last:
+                self.repeats[before] = self.repeats[place] = 1
+            before = place
+        return array("i", places)
+
+    def _scan(self, level: array, batch: array) -> None:
+        """Walk along both arrays, leaping in the longer; what repeats in one of them is marked already."""
+        at = 0
+        for place in batch:
+            window = self._window(place)
+            at = bisect.bisect_left(level, window, at, key=self._window)
+            if at == len(level):
+                break
+            if self._window(level[at]) == window:
+                self.repeats[place] = self.repeats[level[at]] = 1
 
     def add(self, contexts: list[tuple[int, bytes, int]]) -> None:
         """A batch of (name, bytes, windows)."""
-        array = sorted((data[i : i + self.length], name, i) for name, data, windows in contexts for i in range(windows))
-        self._scan(array)
+        starts = itertools.accumulate((len(data) for _, data, _ in contexts), initial=len(self.text))
+        named = [(start, name, windows) for start, (name, _, windows) in zip(starts, contexts)]
+        self.contexts += named
+        self.text += b"".join(data for _, data, _ in contexts)
+        self.repeats.extend(bytes(len(self.text) - len(self.repeats)))
+        batch = self._sorted([start + i for start, _, windows in named for i in range(windows)])
         for _, level in self.levels:
-            self._scan(sorted(itertools.chain(level, array)))
-        self.levels.append((1, array))
+            self._scan(level, batch)
+        self.levels.append((1, batch))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, a), (_, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, sorted(itertools.chain(a, b))))
+            self.levels.append((rank + 1, array("i", heapq.merge(a, b, key=self._window))))
+
+    def found(self):
+        """(name, first window, windows) of each run of windows that start elsewhere too."""
+        for start, name, windows in self.contexts:
+            first = self.repeats.find(1, start, start + windows)
+            while first >= 0:
+                end = self.repeats.find(0, first, start + windows)
+                end = start + windows if end < 0 else end
+                yield name, first - start, end - first
+                first = self.repeats.find(1, end, start + windows)
+
+    @property
+    def matched(self) -> set[tuple[int, int]]:
+        return {(name, i) for name, first, n in self.found() for i in range(first, first + n)}
 
 
 def _compare(length: int):
@@ -207,20 +262,10 @@ def _compare(length: int):
         family = SuffixLevels(length)
         for at in range(0, len(rows), BATCH):
             family.add([(name, rows[name][5], rows[name][4]) for name in range(at, min(at + BATCH, len(rows)))])
-        found: dict[int, list[int]] = {}
-        for name, i in family.matched:
-            found.setdefault(name, []).append(i)
-        for name, places in found.items():
+        for name, first, n in family.found():
             doc_id, key, _, lo, _, _, repeated = rows[name]
-            if repeated:
-                continue
-            places.sort()
-            first = before = places[0]
-            for i in [*places[1:], None]:
-                if i is None or i != before + 1:
-                    yield doc_id, key, lo + first, before - first + 1
-                    first = i
-                before = i
+            if not repeated:
+                yield doc_id, key, lo + first, n
 
     def run(batches):
         group: list[tuple] = []
@@ -251,15 +296,24 @@ SPAN = "doc_id long, row_key long, lo int, n int"
 def _contexts(length: int):
     """The bytes of each wanted run of a row."""
 
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary(), pa.bool_(), pa.bool_()]
+    names = ["doc_id", "row_key", "anchor", "lo", "n", "data", "repeated", "hot"]
+
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
+
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, key, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                for w in wanted:
+            ids, keys, texts, lists = batch.columns
+            for row in range(batch.num_rows):
+                doc_id, key, text = ids[row].as_py(), keys[row].as_py(), texts[row].as_py()
+                for w in lists[row].as_py():
                     out.append((doc_id, key, w["anchor"], w["lo"], w["n"], text[w["lo"] : w["lo"] + w["n"] + length - 1], w["repeated"], w["hot"]))
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary(), pa.bool_(), pa.bool_()]
-            names = ["doc_id", "row_key", "anchor", "lo", "n", "data", "repeated", "hot"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
+                    if len(out) == ROWS:
+                        yield told(out)
+                        out = []
+            yield told(out)
 
     return run
 

@@ -202,6 +202,34 @@ def test_suffix_levels():
     assert [rank for rank, _ in family.levels] == sorted({rank for rank, _ in family.levels}, reverse=True)
 
 
+def test_suffix_levels_merge_and_tell_runs():
+    """Hundreds of batches of contexts of unlike lengths against a count of all windows."""
+    rng = np.random.default_rng(4)
+    family, texts = suffix.SuffixLevels(12), []
+    for _ in range(150):
+        batch = [bytes(rng.choice(list(b"ab"), rng.integers(12, 60)).tolist()) for _ in range(rng.integers(1, 6))]
+        family.add([(len(texts) + i, t, len(t) - 11) for i, t in enumerate(batch)])
+        texts += batch
+    count = Counter(t[i : i + 12] for t in texts for i in range(len(t) - 11))
+    assert family.matched == {(n, i) for n, t in enumerate(texts) for i in range(len(t) - 11) if count[t[i : i + 12]] > 1}
+    assert all(list(level) == sorted(level, key=lambda p: family.text[p : p + 12]) for _, level in family.levels)
+    assert sum(len(level) for _, level in family.levels) == sum(len(t) - 11 for t in texts)
+
+
+def test_suffix_array_of_long_texts(spark):
+    """A text of more than CHUNK windows and ROWS runs, with repeats within, across the chunks' edge and at its end."""
+    rng = np.random.default_rng(5)
+    letters = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    long = letters(3_000_000)
+    edge = suffix.CHUNK
+    passages = [long[edge - 300 : edge + 600], long[1_000_000:1_000_401], long[-450:]]
+    docs = [(1, long), (2, letters(50).join(["", *passages, ""])), (3, long[2_000_000:2_000_399])]
+    got = {r.doc_id: r for r in suffix.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(list(suffix.runs(long.encode()))) > suffix.ROWS
+    assert [(s.start, s.end) for s in got[1].spans] == [(edge - 300, edge + 600), (1_000_000, 1_000_401), (2_999_550, 3_000_000)]
+    assert got[1].n_removed == got[2].n_removed == 900 + 401 + 450 and got[3].n_removed == 0
+
+
 def test_without_repeats(odd):
     got = suffix.without_repeats(odd, 200, 64)
     assert got.columns == odd.columns and got.count() == odd.count()
