@@ -419,8 +419,9 @@ def repeated_windows(base: DataFrame, length: int, gram: int, hot: int = HOT) ->
     found = base.filter(F.octet_length("text") >= length).mapInArrow(tidied(_find_runs(length, gram)), RUNS)
     settled = cut(with_partitions(found, "anchor").sortWithinPartitions("anchor", "context", "doc_id", "row_key", "lo").mapInArrow(tidied(_settle), SETTLED))
     wanted = settled.filter("differs")
-    full = wanted.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor", F.lit(True).alias("hot"))
-    wanted = wanted.join(full, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    full = cut(wanted.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor"))
+    # an anchor that is taken for a full one by chance is only counted the other way
+    wanted = hits(wanted, full, ["anchor"], full.count()).withColumnRenamed("hit", "hot")
     lists = cut(wanted.groupBy(*KEY).agg(F.collect_set(F.struct("anchor", "lo", "n", "repeated", "hot")).alias("wanted")))
     # rows that share id and text are one here: their runs are alike
     texts = hits(base, lists, KEY, lists.count()).filter("hit").groupBy(*KEY).agg(F.first("text").alias("text"))
