@@ -46,35 +46,45 @@ def _blocks(d: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges, edges[1:])]
 
 
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
 def _members(grid: int, budget: float):
     """For each class and block: the cells its ball touches, and whether a cell is its home."""
 
-    def run(batches):
-        for batch in batches:
-            out: dict[str, list] = {"rep": [], "cell": [], "home": []}
-            for label, rep, v in zip(*(c.to_pylist() for c in batch.columns)):
-                x = np.asarray(v)
-                x = (x / np.linalg.norm(x)) @ rotation_of(len(v))
-                blocks = _blocks(len(v))
-                radius = math.sqrt(budget / len(blocks)) * (1 + 1e-9)
-                side = 6 * radius
-                for b, block in enumerate(blocks):
-                    head = x[block][:grid]
-                    home = tuple(np.floor(head / side).astype(int))
-                    cells = [()]
-                    for c in head:
-                        lo, hi = math.floor((c - radius) / side), math.floor((c + radius) / side)
-                        cells = [(*p, i) for p in cells for i in range(lo, hi + 1)]
-                    for cell in cells:
-                        out["rep"].append(rep)
-                        out["cell"].append(f"{label}/{len(v)}/{b}/" + ",".join(map(str, cell)))
-                        out["home"].append(cell == home)
-            yield pa.RecordBatch.from_arrays([pa.array(out["rep"], pa.int64()), pa.array(out["cell"], pa.string()), pa.array(out["home"], pa.bool_())], list(out))
-
     turns: dict[int, np.ndarray] = {}
 
-    def rotation_of(d: int) -> np.ndarray:
-        return turns[d] if d in turns else turns.setdefault(d, rotation(d))
+    def cells_of(labels: np.ndarray, reps: np.ndarray, raw: np.ndarray):
+        d = raw.shape[1]
+        if d not in turns:
+            turns[d] = rotation(d)
+        turned = (raw / np.linalg.norm(raw, axis=1)[:, None]) @ turns[d]
+        blocks = _blocks(d)
+        radius = math.sqrt(budget / len(blocks)) * (1 + 1e-9)
+        side = 6 * radius
+        for b, block in enumerate(blocks):
+            at, home = np.arange(len(reps)), np.ones(len(reps), dtype=bool)
+            cell = np.empty((len(reps), 0), dtype=np.int64)
+            for c in turned[:, block].T[:grid]:
+                lo, own, hi = (np.floor((c[at] + x) / side).astype(np.int64) for x in (-radius, 0, radius))
+                two = hi > lo  # a ball is narrower than a cell
+                at, own = np.concatenate([at, at[two]]), np.concatenate([own, own[two]])
+                here = np.concatenate([lo, hi[two]])
+                cell = np.column_stack([np.concatenate([cell, cell[two]]), here])
+                home = np.concatenate([home, home[two]]) & (here == own)
+            names = [f"{label}/{d}/{b}/" + ",".join(map(str, x)) for label, x in zip(labels[at].tolist(), cell.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(reps[at], pa.int64()), pa.array(names, pa.string()), pa.array(home)], ["rep", "cell", "home"])
+
+    def run(batches):
+        for batch in batches:
+            label, rep, v = batch.columns
+            lengths = v.value_lengths().to_numpy()
+            for d in np.unique(lengths).tolist():
+                at = pa.array(np.flatnonzero(lengths == d))
+                yield from cells_of(label.take(at).to_numpy(zero_copy_only=False), rep.take(at).to_numpy(), matrix(v.take(at)))
 
     return run
 
@@ -97,18 +107,22 @@ class _Forest:
             yield roots[0], r
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, grid: int):
     budget = 2 - 2 * threshold
 
     def run(table: pa.Table) -> pa.Table:
         rep, copies = table["rep"].to_numpy(), table["copies"].to_numpy()
         build, probe = (np.flatnonzero(table[c].to_numpy()) for c in ("build", "probe"))
         b = int(table["cell"][0].as_py().split("/")[-2])
-        raw = np.stack([np.asarray(v) for v in table["v"].to_pylist()])
+        raw = matrix(table["v"])
         norm = np.linalg.norm(raw, axis=1)
         turned = (raw / norm[:, None]) @ rotation(raw.shape[1])
         blocks = _blocks(raw.shape[1])
         share = budget / len(blocks) * (1 + 1e-9)
+        # rows in the order of a coordinate that the grid leaves open, so that a strip meets a range of them only
+        line = turned[:, blocks[b]][:, min(grid, blocks[b].stop - blocks[b].start - 1)]
+        build, probe = build[np.argsort(line[build], kind="stable")], probe[np.argsort(line[probe], kind="stable")]
+        reach = math.sqrt(share) + 1e-9
 
         def apart(block: slice, at: np.ndarray, to: np.ndarray) -> np.ndarray:
             x, y = turned[at, block], turned[to, block]
@@ -117,12 +131,13 @@ def _compare(threshold: float):
         links, forest, edges = np.zeros(len(rep), dtype=np.int64), _Forest(len(rep)), []
         for s in range(0, len(probe), STRIP):
             at = probe[s : s + STRIP]
-            near = apart(blocks[b], at, build) <= share
-            near &= rep[at][:, None] != rep[build][None, :]
+            to = build[slice(*np.searchsorted(line[build], [line[at[0]] - reach, line[at[-1]] + reach]))]
+            near = apart(blocks[b], at, to) <= share
+            near &= rep[at][:, None] != rep[to][None, :]
             rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
             if not len(rows):
                 continue
-            near, at, to = near[np.ix_(rows, cols)], at[rows], build[cols]
+            near, at, to = near[np.ix_(rows, cols)], at[rows], to[cols]
             for block in blocks[:b]:
                 near &= apart(block, at, to) > share
             near &= (raw[at] @ raw[to].T) / (norm[at][:, None] * norm[to][None, :]) >= threshold
@@ -165,7 +180,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
     )
     dealt = dealt.select("rep", "cell", where.alias("w")).select("rep", "cell", "w.*")
     full = dealt.join(classes.select("rep", "copies", "v"), "rep")
-    found = cut(full.groupBy("cell", "i", "j").applyInArrow(lambda t: _compare(threshold)(t), "a long, b long, links long"))
+    found = cut(full.groupBy("cell", "i", "j").applyInArrow(lambda t: _compare(threshold, grid)(t), "a long, b long, links long"))
     names = components(found.filter("links is null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     links = found.filter("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     of_class = classes.select("rep", "label", "h1", "h2", "first", "copies").join(names, F.col("rep") == F.col("node"), "left").drop("node").join(links, "rep", "left")
