@@ -75,16 +75,26 @@ def with_partitions(df: DataFrame, *cols) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidied(run):
-    """A function over batches that, when a task ends, gives the memory it freed back to the system.
+    """A function over batches that gives the memory it freed back to the system, after each batch and at its end.
 
     Workers serve many tasks, and executors count what their allocators keep.
     """
 
+    def each(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            _give_back()
+
     def wrapped(batches):
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        yield from run(each(batches))
+        _give_back()
 
     return wrapped

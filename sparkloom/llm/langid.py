@@ -30,6 +30,8 @@ RUN = 1 << 20
 CACHE = 1 << 14
 #: Trigrams that a training task gathers before it bundles them.
 FLUSH = 1 << 21
+#: Distinct keys whose vectors are looked up at once.
+KEYS = 1 << 10
 BASE = LETTERS + 1
 UNDETERMINED = "und"
 
@@ -87,8 +89,8 @@ class Profiles:
         total = np.zeros(DIMENSIONS)
         for at in range(0, len(keys), FLUSH):  # sums of fewer than 2 ** 24 signs are exact in single precision
             distinct, counts = np.unique(keys[at : at + FLUSH], return_counts=True)
-            for a in range(0, len(distinct), 4096):
-                total += counts[a : a + 4096].astype(np.float32) @ self.of(distinct[a : a + 4096])
+            for a in range(0, len(distinct), KEYS):
+                total += counts[a : a + KEYS].astype(np.float32) @ self.of(distinct[a : a + KEYS])
         return total
 
 
@@ -103,8 +105,9 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
 
         waiting: dict[str, int] = {}
         for batch in batches:
-            for text, lang in zip(*(c.to_pylist() for c in batch.columns)):
-                for keys in profiles.keys(text):
+            texts, langs = batch.columns
+            for text, lang in zip(texts, langs.to_pylist()):  # texts one by one, as a batch's are large
+                for keys in profiles.keys(text.as_py()):
                     held.setdefault(lang, []).append(keys)
                     waiting[lang] = waiting.get(lang, 0) + len(keys)
                     if waiting[lang] >= FLUSH:
@@ -129,11 +132,11 @@ def _judge(learned: dict[str, np.ndarray]):
     def make():
         profiles = Profiles()
 
-        def judge(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        def judge(texts: pa.Array) -> tuple[list[str], list[float]]:
             langs, scores = [], []
             for text in texts:
                 total, some = np.zeros(DIMENSIONS), False
-                for keys in profiles.keys(text or ""):
+                for keys in profiles.keys(text.as_py() or ""):
                     total += profiles.bundle(keys)
                     some = True
                 size = np.linalg.norm(total)
@@ -159,7 +162,7 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
     def run(batches):
         judge = make()
         for batch in batches:
-            langs, scores = judge(batch.column(1).to_pylist())
+            langs, scores = judge(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, lang_pred string, score double")
@@ -177,11 +180,11 @@ def identified(docs: DataFrame) -> DataFrame:
     def run(batches):
         judge = make()
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts = batch.column(at)
             if learned:
                 some = [x != UNDETERMINED for x in judge(texts)[0]]
             else:
-                some = [any(c.isalpha() for c in t or "") for t in texts]
+                some = [any(c.isalpha() for c in t.as_py() or "") for t in texts]
             yield batch.filter(pa.array(some, pa.bool_()))
 
     return docs.mapInArrow(tidied(run), docs.schema)

@@ -42,7 +42,7 @@ STALE = 3
 KEEP = 0.985
 ROUNDS = 4
 #: Words whose ids a task remembers.
-CACHE = 500_000
+CACHE = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -139,7 +139,7 @@ def _values(array: pa.BinaryArray) -> memoryview:
 #: A word of letters and the marks at its end, which the tokenizer parts.
 _core = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]*)")
 #: Bytes of texts that are encoded at once.
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def _slices(texts: pa.Array):
