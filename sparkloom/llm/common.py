@@ -75,6 +75,10 @@ def with_partitions(df: DataFrame, *cols) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
 
+#: Bytes of a batch after which memory is given back at once.
+LARGE = 1 << 20
+
+
 def _give_back() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
@@ -82,16 +86,18 @@ def _give_back() -> None:
 
 
 def tidied(run):
-    """A function over batches that gives the memory it freed back to the system, after each batch and at its end.
+    """A function over batches that gives the memory it freed back to the system, after each large batch and at its end.
 
     Workers serve many tasks, and executors count what their allocators keep.
     """
 
     def each(batches):
         for batch in batches:
+            large = batch.nbytes > LARGE
             yield batch
             del batch
-            _give_back()
+            if large:
+                _give_back()
 
     def wrapped(batches):
         yield from run(each(batches))
