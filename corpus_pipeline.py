@@ -33,15 +33,29 @@ GRAM = 64
 ORACLE_SQL = None
 
 
+#: Rows that are sent to a Python worker at once; 10,000 texts are tens of MB in the worker and in the executor.
+ROWS = 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows an Arrow batch to ROWS; it stays so, as a stage's result is computed by whoever writes it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS:
+        spark.conf.set(name, ROWS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return langid.identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.one_of_each(docs, words=5, radius=52, width=4, sure=40, similarity=0.8)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return suffix.without_repeats(docs, length=REPEAT, gram=GRAM)
 
 
@@ -50,6 +64,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.packed(docs, tokenizer_path(), capacity=4096, end=1)
 
 
