@@ -293,11 +293,14 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 SPAN = "doc_id long, row_key long, lo int, n int"
 
 
-def _contexts(length: int):
-    """The bytes of each wanted run of a row."""
+CONTEXT = "doc_id long, row_key long, anchor long, lo int, n int, data binary, repeated boolean"
 
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary(), pa.bool_(), pa.bool_()]
-    names = ["doc_id", "row_key", "anchor", "lo", "n", "data", "repeated", "hot"]
+
+def _contexts(length: int, hot: bool):
+    """The bytes of each wanted run of a row whose anchor is a full one, or is not."""
+
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary(), pa.bool_()]
+    names = ["doc_id", "row_key", "anchor", "lo", "n", "data", "repeated"]
 
     def told(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
@@ -307,9 +310,10 @@ def _contexts(length: int):
             out: list[tuple] = []
             ids, keys, texts, lists = batch.columns
             for row in range(batch.num_rows):
-                doc_id, key, text = ids[row].as_py(), keys[row].as_py(), texts[row].as_py()
-                for w in lists[row].as_py():
-                    out.append((doc_id, key, w["anchor"], w["lo"], w["n"], text[w["lo"] : w["lo"] + w["n"] + length - 1], w["repeated"], w["hot"]))
+                some = [w for w in lists[row].as_py() if w["hot"] == hot]
+                doc_id, key, text = ids[row].as_py(), keys[row].as_py(), texts[row].as_py() if some else b""
+                for w in some:
+                    out.append((doc_id, key, w["anchor"], w["lo"], w["n"], text[w["lo"] : w["lo"] + w["n"] + length - 1], w["repeated"]))
                     if len(out) == ROWS:
                         yield told(out)
                         out = []
@@ -322,11 +326,15 @@ HASHED = "doc_id long, row_key long, lo int, h long, g long, repeated boolean, k
 
 
 def _window_hashes(length: int):
+    """Hashes of all windows of the wanted runs of full anchors; one function from texts on, as each Python step of a
+    stage has workers of its own."""
+    contexts = _contexts(length, True)
+
     def run(batches):
         # a task deals each hash twice at most: more only tell that they repeat, and go anywhere
         seen: dict[int, int] = {}
         part, told = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in contexts(batches):
             for doc_id, key, _, lo, n, data, repeated in zip(*(c.to_pylist() for c in batch.columns)):
                 h = [xxhash.xxh3_128_intdigest(data[i : i + length]) for i in range(n)]
                 known = [False] * n
@@ -425,9 +433,10 @@ def repeated_windows(base: DataFrame, length: int, gram: int, hot: int = HOT) ->
     lists = cut(wanted.groupBy(*KEY).agg(F.collect_set(F.struct("anchor", "lo", "n", "repeated", "hot")).alias("wanted")))
     # rows that share id and text are one here: their runs are alike
     texts = hits(base, lists, KEY, lists.count()).filter("hit").groupBy(*KEY).agg(F.first("text").alias("text"))
-    contexts = texts.join(lists, KEY).select(*KEY, "text", "wanted").mapInArrow(tidied(_contexts(length)), "doc_id long, row_key long, anchor long, lo int, n int, data binary, repeated boolean, hot boolean")
-    cool = with_partitions(contexts.filter("not hot").drop("hot"), "anchor").sortWithinPartitions("anchor").mapInArrow(tidied(_compare(length)), SPAN)
-    windows = contexts.filter("hot").drop("hot").mapInArrow(tidied(_window_hashes(length)), HASHED)
+    wanted = texts.join(lists, KEY).select(*KEY, "text", "wanted")
+    contexts = wanted.mapInArrow(tidied(_contexts(length, False)), CONTEXT)
+    cool = with_partitions(contexts, "anchor").sortWithinPartitions("anchor").mapInArrow(tidied(_compare(length)), SPAN)
+    windows = wanted.mapInArrow(tidied(_window_hashes(length)), HASHED)
     warm = with_partitions(windows, "h").sortWithinPartitions("h", "g").mapInArrow(tidied(_again), SPAN)
     return settled.filter("repeated").select(*KEY, "lo", "n").unionByName(cool).unionByName(warm)
 
